@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .components import connected_groups
 from .duplicates import collapse_formatting
+from .splitting import split_texts
 
 
 def _collapsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -27,6 +28,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(accepted, "left_id", "right_id")
 
 
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = table(spark, sf_dir, "size_limits").where("purpose = 'piece'")
+    return split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", limits)
+
+
 _CANON_SQL = r"""
 WITH c AS (
   SELECT question_row, text, answers, lower(upper(regexp_replace(text, '[\pP\pZ\x09-\x0d\x{85}]', '', 'g'))) AS t,
@@ -34,7 +40,7 @@ WITH c AS (
   FROM questions WHERE answers IS NOT NULL AND regexp_matches(text, '[^\pZ\x09-\x0d\x{85}]'))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p8_pieces": p8_pieces}
 ORACLES = {
     "p1_found": _CANON_SQL + "SELECT min(question_row) OVER w AS group_row, question_row FROM c WINDOW w AS (PARTITION BY t, a) QUALIFY count(*) OVER w > 1",
     "p1_groups": _CANON_SQL + "SELECT min(question_row) AS group_row, count(*) AS copies, count(DISTINCT (text, answers)) AS variants FROM c GROUP BY t, a",

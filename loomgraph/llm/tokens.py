@@ -10,6 +10,7 @@ import unicodedata
 from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,17 +43,20 @@ class Sizer:
                 return n
 
         self.memo = Memo()
-        # \w is L, N and the underscore here; numbers that aren't decimal digits must be told from letters.
-        other = "".join(re.escape(chr(c)) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl"))
+        # In Python \w is L, N and the underscore: numbers that aren't decimal digits would pass for letters.
+        self.other_numbers = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
         self.split_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+").findall
-        self.split_any = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_{other}]+| ?[\d{other}]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+        self.split_plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+        self.split_any = regex.compile(PATTERN).findall
         self.odd_space = re.compile("[\x1c-\x1f]").search
 
     def words(self, text: str) -> list[str] | None:
         """The text in the pieces within which merging happens; None where Python's white space differs."""
         if self.odd_space(text):
             return None
-        return self.split_ascii(text) if text.isascii() else self.split_any(text)
+        if text.isascii():
+            return self.split_ascii(text)
+        return self.split_plain(text) if self.other_numbers.isdisjoint(text) else self.split_any(text)
 
     def count(self, text: str) -> int:
         words = self.words(text)
