@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import Scratch, table
 from .components import connected_groups
 from .duplicates import collapse_formatting
+from .mixing import mix_sources
+from .packing import fill_report, pack_items
 from .splitting import split_texts
+from .tokens import count_tokens
 
 
 def _collapsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -28,6 +31,33 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(accepted, "left_id", "right_id")
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size in tokens, counted once and stored: the operators read it several times."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"))
+    return Scratch(spark, "sizes").cut(docs, "documents")
+
+
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "size_limits").where("purpose = 'container'")
+
+
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_items(_sizes(spark, sf_dir), _containers(spark, sf_dir))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = _containers(spark, sf_dir)
+    return fill_report(pack_items(_sizes(spark, sf_dir), limits), limits)
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = table(spark, sf_dir, "size_limits").where("purpose = 'piece'")
     return split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", limits)
@@ -40,7 +70,7 @@ WITH c AS (
   FROM questions WHERE answers IS NOT NULL AND regexp_matches(text, '[^\pZ\x09-\x0d\x{85}]'))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_pieces": p8_pieces}
 ORACLES = {
     "p1_found": _CANON_SQL + "SELECT min(question_row) OVER w AS group_row, question_row FROM c WINDOW w AS (PARTITION BY t, a) QUALIFY count(*) OVER w > 1",
     "p1_groups": _CANON_SQL + "SELECT min(question_row) AS group_row, count(*) AS copies, count(DISTINCT (text, answers)) AS variants FROM c GROUP BY t, a",
