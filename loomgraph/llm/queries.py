@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import Scratch, table
 from .components import connected_groups
 from .duplicates import collapse_formatting
+from .linkage import link_entities
 from .mixing import mix_sources
 from .packing import fill_report, pack_items
 from .splitting import split_texts
@@ -26,6 +27,14 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _collapsed(spark, sf_dir)[0]
 
 
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_entities(table(spark, sf_dir, "entity_nodes"), table(spark, sf_dir, "entity_nodes_alt"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).select("id", "alt_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = table(spark, sf_dir, "entity_matches").where("verdict")
     return connected_groups(accepted, "left_id", "right_id")
@@ -70,7 +79,7 @@ WITH c AS (
   FROM questions WHERE answers IS NOT NULL AND regexp_matches(text, '[^\pZ\x09-\x0d\x{85}]'))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_pieces": p8_pieces}
 ORACLES = {
     "p1_found": _CANON_SQL + "SELECT min(question_row) OVER w AS group_row, question_row FROM c WINDOW w AS (PARTITION BY t, a) QUALIFY count(*) OVER w > 1",
     "p1_groups": _CANON_SQL + "SELECT min(question_row) AS group_row, count(*) AS copies, count(DISTINCT (text, answers)) AS variants FROM c GROUP BY t, a",
