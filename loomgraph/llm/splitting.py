@@ -95,7 +95,7 @@ class _Text:
     """One text in units that are never cut: where they start, their tokens, the boundaries' strengths."""
 
     def __init__(self, text: str, units: Units):
-        self.text, self.size = text, units.size
+        self.text, self.size, self.codes = text, units.size, units.codes
         words = units.size.words(text)
         whole = words is not None
         if not whole:
@@ -131,7 +131,7 @@ class _Text:
             k = j - 1
             while k > i and self.white[k - 1]:
                 k -= 1
-            return self.sums[k] - self.sums[i] + self.size.count(self.text[self.starts[k] : self.starts[j]])
+            return self.sums[k] - self.sums[i] + (self.codes[self.text[self.starts[k] : self.starts[j]]] & _TOKENS)
         return self.sums[j] - self.sums[i]
 
     def cut(self, i: int, j: int) -> int:
@@ -155,11 +155,14 @@ class _Text:
         """
         room = [most - lap for most, lap in limits]
         ends: list[list[int]] = [[] for _ in limits]
-        stack = [(0, len(self.starts) - 1, list(range(len(limits))))]
+        stack = [(0, len(self.starts) - 1, sorted(range(len(limits)), key=lambda x: -room[x]))]
         while stack:
             i, j, active = stack.pop()
             if j - i > 1:
-                n = self.tokens(i, j)
+                # Far above the room the sum of the units will do; it may only be too high where words are cut.
+                n = self.sums[j] - self.sums[i]
+                if n <= 2 * room[active[0]] or not self.cracked:
+                    n = self.tokens(i, j)
                 more = [x for x in active if n > room[x]]
             else:
                 more = []
