@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph, problems
+from . import graph, problems, retrieval
 
-MODULES = (problems, graph)
+MODULES = (problems, graph, retrieval)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
