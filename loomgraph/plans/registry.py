@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import answers, graph, problems, retrieval
+from . import answers, graph, pipeline, problems, retrieval
 
-MODULES = (problems, graph, retrieval, answers)
+MODULES = (problems, graph, retrieval, answers, pipeline)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
