@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import exploded, strip
 
 
 def sentences(text: Column) -> Column:
@@ -23,8 +23,8 @@ def chunk_sentences(df: DataFrame, id_col: str, text: str, size: int, overlap: i
     if size <= overlap or overlap < 0:
         raise ValueError(f"windows of {size} sentences cannot overlap by {overlap}")
     step = size - overlap
-    parts = df.select(id_col, sentences(F.col(text)).alias("s")).where(F.size("s") > 0)
-    starts = parts.select(id_col, "s", F.posexplode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(step))).alias("chunk_idx", "start_sentence"))
+    parts = df.select(id_col, sentences(F.col(text)).alias("s"))
+    starts = exploded(parts, [id_col, "s"], F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1, F.lit(step))), "start_sentence", "chunk_idx")
     end = F.least(F.col("start_sentence") + size, F.size("s"))
     return starts.select(
         id_col, "chunk_idx", "start_sentence", end.alias("end_sentence"), F.concat(F.array_join(F.slice("s", F.col("start_sentence") + 1, size), ". "), F.lit(".")).alias("chunk_text")

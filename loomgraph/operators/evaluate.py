@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE
+
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def answer_tokens(c: Column) -> Column:
     """Lower case, without ASCII punctuation and English articles, split at white space."""
     bare = F.translate(F.lower(c), PUNCTUATION, "")
-    return F.filter(F.split(bare, r"(?U)\s+"), lambda w: (w != "") & ~w.isin("a", "an", "the"))
+    return F.filter(F.split(bare, f"{SPACE}+"), lambda w: (w != "") & ~w.isin("a", "an", "the"))
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:

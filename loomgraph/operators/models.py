@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.text import exploded, strip
+
 Model = Callable[[list[dict]], list[dict]]
 
 
@@ -60,7 +62,7 @@ def temporal(text: Column) -> Column:
 
 def extract_mentions(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id_col, pos, name): the stand-in's entities of each text."""
-    return df.select(id_col, F.posexplode(capitalised(F.col(text))).alias("pos", "name"))
+    return exploded(df, [id_col], capitalised(F.col(text)), "name", "pos")
 
 
 def space_time(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +76,7 @@ def space_time(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def split_mentions(reply: Column) -> Column:
     """Mentions a model returned, separated by bars; blank ones go."""
-    parts = F.transform(F.split(reply, r"\|"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    parts = F.transform(F.split(reply, r"\|"), lambda x: strip(x))
     return F.filter(parts, lambda x: x != "")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_tokens, words
+from ..functions.text import exploded, word_tokens, words
+from ..session import Scratch
 
 
 def top_k(df: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
@@ -20,20 +21,24 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     ``corpus``: doc_id, tokens; ``queries``: query_id, tokens; a token repeated in a query counts as
     often.  idf = ln((N - df + 0.5) / (df + 0.5)), negative ones replaced by epsilon times the mean idf.
 
-    Only postings of words that occur in queries are joined.  Words in nearly every document make
-    long lists: the query side is aggregated per word first, and Spark splits skewed words.
+    Document frequencies are counted before the shuffle and stored, one row per word.  Postings are
+    kept only for words that queries hold, before they are counted; Spark splits words with long lists.
     """
-    docs = corpus.select("doc_id", "tokens", F.size("tokens").alias("len")).where("len >= 0")
-    size = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    postings = docs.select("doc_id", "len", F.explode("tokens").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n, mean = size.first() or (0, 0.0)
+    scratch = Scratch(corpus.sparkSession, "bm25")
+    docs = corpus.select("doc_id", "tokens", F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("len"))
+    # One pass: words, and beside them a null word per text that counts texts and their lengths.
+    spread_out = docs.select(F.explode_outer(F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string"))).alias("term"), "len")
+    counted = scratch.cut(spread_out.groupBy("term").agg(F.count("len").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("len"))).alias("length")), "df")
+    n, length = counted.where("term is null").select("df", "length").first() or (0, 0)
+    mean, df = length / n if n else 0.0, counted.where("term is not null").drop("length")
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean_idf = df.agg(F.avg(idf)).first()[0] or 0.0
-    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    asked = scratch.cut(exploded(queries, ["query_id"], F.col("tokens"), "term").groupBy("query_id", "term").agg(F.count("*").alias("qf")), "asked")
     weights = df.join(asked.select("term").distinct(), "term", "left_semi").select("term", F.when(idf < 0, epsilon * mean_idf).otherwise(idf).alias("idf"))
+    weights = scratch.cut(weights, "weights")
+    postings = exploded(docs, ["doc_id", "len"], F.col("tokens"), "term").join(weights, "term").groupBy("doc_id", "len", "term", "idf").agg(F.count("*").alias("tf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean or 1))))
-    scored = postings.join(weights, "term").select("doc_id", "term", part.alias("part")).join(asked, "term")
+    scored = postings.select("doc_id", "term", part.alias("part")).join(asked, "term")
     scores = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qf")), 6).alias("score")).where("score > 0")
     return top_k(scores, "query_id", "score", "doc_id", k)
 
@@ -52,8 +57,8 @@ def token_search(names: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     the names' own words, which must contain them (``art`` finds ``cartel``), and then only in names
     that hold such a word: no name is compared with every query.
     """
-    spread = names.select("doc_id", F.explode(F.array_distinct(words("name"))).alias("word"))
-    asked = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("n"))
+    spread = exploded(names, ["doc_id"], F.array_distinct(words("name")), "word")
+    asked = exploded(queries, ["query_id"], F.col("tokens"), "token").groupBy("query_id", "token").agg(F.count("*").alias("n"))
     inside = holders(spread.select("word").distinct(), asked.select("token").distinct())
     hits = asked.join(inside, "token").join(spread, "word").select("query_id", "doc_id", "token", "n").distinct()
     return top_k(hits.groupBy("query_id", "doc_id").agg(F.sum("n").alias("score")), "query_id", "score", "doc_id", k)

@@ -10,13 +10,13 @@ from ..operators import models as mo
 from ..operators.chunking import chunk_sentences
 from ..sources.sinks import cytoscape, preview
 from ..streaming import incremental as inc
-from ..session import table
+from ..session import spread, table
 from .graph import MEMORY_SQL
 
 
 def extracted_entities(spark, sf_dir):
     """Documents to chunks to names; of each name in a document the first chunk and how often it is named."""
-    chunks = chunk_sentences(table(spark, sf_dir, "documents"), "doc_id", "text", 4, 0)
+    chunks = chunk_sentences(spread(table(spark, sf_dir, "documents")), "doc_id", "text", 4, 0)
     names = mo.extract_mentions(chunks.withColumn("at", F.struct("doc_id", "chunk_idx")), "at", "chunk_text").select("at.*", "name")
     return names.groupBy("doc_id", name_key("name").alias("key")).agg(F.min("chunk_idx").alias("first_chunk"), F.count("*").alias("mentions"))
 
@@ -37,7 +37,7 @@ def question_mentions(spark, sf_dir):
 
 def space_time_edges(spark, sf_dir):
     """Years in chunks of the documents, linked to the names in the chunk."""
-    chunks = chunk_sentences(table(spark, sf_dir, "documents"), "doc_id", "text", 4, 0)
+    chunks = chunk_sentences(spread(table(spark, sf_dir, "documents")), "doc_id", "text", 4, 0)
     return mo.space_time(chunks.select(F.concat_ws("_", "doc_id", "chunk_idx").alias("chunk_id"), F.col("chunk_text").alias("text")))[1]
 
 

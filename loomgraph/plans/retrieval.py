@@ -10,14 +10,14 @@ from ..functions.text import word_tokens, words
 from ..operators import chunking as c
 from ..operators import memory as m
 from ..operators import retrieval as r
-from ..session import table
+from ..session import spread, table
 from .graph import MEMORY_SQL
 
 K = 10
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def chunk_sentences(spark, sf_dir):
