@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Scratch, table
+from ..session import Scratch, spread, table
 from .components import connected_groups
 from .duplicates import collapse_formatting
 from .linkage import link_entities
@@ -42,7 +42,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size in tokens, counted once and stored: the operators read it several times."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"))
     return Scratch(spark, "sizes").cut(docs, "documents")
 
 
@@ -69,7 +69,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = table(spark, sf_dir, "size_limits").where("purpose = 'piece'")
-    return split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", limits)
+    return split_texts(spread(table(spark, sf_dir, "documents")), "doc_id", "text", limits)
 
 
 _CANON_SQL = r"""
