@@ -32,6 +32,7 @@ TABLES = {
 TRIPLES = "ancestor string, parent_path string, path string, ordinal int, field string, value string"
 
 _MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]', re.S)
+_FENCE, _OPEN = re.compile(r"```\w*\s(.*?)```", re.S), re.compile(r"[{\[]")
 _DECODER = json.JSONDecoder(strict=False)
 
 
@@ -50,15 +51,24 @@ def _cut_off(text: str, start: int) -> bool:
 
 
 def _values(text: str) -> Iterator:
-    """Complete JSON values of a text: the whole of it, else each that stands free in it."""
+    """Complete JSON values of a text: the whole of it, else those in its fences, else each that stands free in it."""
     text = text.strip("﻿ \t\r\n")
     try:
         yield _DECODER.decode(text)
         return
     except (ValueError, RecursionError):
         pass
+    fenced = False
+    for body in _FENCE.findall(text):
+        try:
+            yield _DECODER.decode(body.strip())
+            fenced = True
+        except (ValueError, RecursionError):
+            pass
+    if fenced:
+        return
     at = 0
-    while (m := re.compile(r"[{\[]").search(text, at)) is not None:
+    while (m := _OPEN.search(text, at)) is not None:
         try:
             value, at = _DECODER.raw_decode(text, m.start())
             yield value

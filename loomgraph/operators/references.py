@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PROBE = "target string, key string, salt int, side int, arrived long, deleted long, ref_id long, ref_at long"
+#: References below which a key never gets salts.
+LEAST_HOT = 50_000
 MISSES = "target string, ref_key string, ref_id long, ref_at long, reason string"
 
 
@@ -102,12 +103,13 @@ def orphan_references(refs: DataFrame, parents: DataFrame, hot_share: float = 0.
     Keys holding more than ``hot_share`` of all references get salts, and their parents a copy per
     salt: there are at most 1 / hot_share such keys, whatever the size of the data.
     """
-    refs = refs.where(F.col("key").isNotNull())
+    refs = refs.where(F.col("key").isNotNull()).select("target", "key", "ref_id", "ref_at")
+    parents = parents.select("target", "key", "arrived", "deleted")
     spark = refs.sparkSession
     # Few rows by construction: each stands for hot_share of all references.
     counts = refs.groupBy("target", "key").count()
     total = refs.count()
-    least = max(50_000, int(total * hot_share))
+    least = max(LEAST_HOT, int(total * hot_share))
     hot = [(r["target"], r["key"], int(r["count"] // least) + 1) for r in counts.where(F.col("count") > least).collect()]
     salts = spark.createDataFrame(hot, "target string, key string, salts int")
     parents = parents.join(F.broadcast(salts), ["target", "key"], "left").select(
