@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def canonical(c: Column) -> Column:
     """A string without Unicode white space and punctuation (P*), in one letter case.
 
-    Accents stay.  Upper, then lower case brings together what either alone keeps apart.
+    Accents stay.  Upper, then lower case brings together what either alone keeps apart; letters are
+    mapped one to one, so ß stays itself.
     """
     return F.lower(F.upper(F.regexp_replace(c, r"[\p{P}\p{IsWhite_Space}]+", "")))
 
@@ -19,11 +20,10 @@ def canonical_bag(c: Column) -> Column:
     return F.array_sort(F.transform(c, canonical))
 
 
-def _digest(*cols: Column) -> Column:
-    """128 bits of a key, to carry instead of the texts.  Null items count as a text of their own."""
-    null = F.lit("\u0000null")
-    flat = [F.concat(F.array(F.size(c).cast("string")), F.transform(c, lambda x: F.coalesce(x, null))) if kind == "a" else F.coalesce(c, null) for kind, c in cols]
-    return F.struct(F.xxhash64(*flat).alias("h"), F.xxhash64(F.lit(7919), *flat[::-1], F.lit(104729)).alias("l"))
+def _digest(text: Column, items: Column) -> Column:
+    """128 bits of a key, to carry instead of the texts; null items differ from any text."""
+    flat = F.transform(items, lambda x: F.coalesce(F.concat(F.lit("1"), x), F.lit("0")))
+    return F.struct(F.xxhash64(text, F.size(items), flat).alias("h"), F.xxhash64(F.lit(7919), flat, text, F.lit(104729)).alias("l"))
 
 
 def collapse_formatting(df: DataFrame, row: str, text: str, items: str) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +45,7 @@ def collapse_formatting(df: DataFrame, row: str, text: str, items: str) -> tuple
     raw = rows.groupBy("_text", "_items").agg(F.count("*").alias("n"), F.min("_row").alias("first_row"))
     survivors = raw.select("n", "first_row", "_text", "_items", canonical(F.col("_text")).alias("ctext"), canonical_bag(F.col("_items")).alias("citems"))
     groups = survivors.groupBy("ctext", "citems").agg(F.sum("n").alias("copies"), F.min("first_row").alias("group_row"), F.count("*").alias("variants"))
-    key = lambda t, i: _digest(("s", F.col(t)), ("a", F.col(i)))
+    key = lambda t, i: _digest(F.col(t), F.col(i))
     several = groups.where(F.col("copies") > 1).select(key("ctext", "citems").alias("ck"), "group_row").select("ck.*", "group_row")
     forms = survivors.select(key("ctext", "citems").alias("ck"), key("_text", "_items").alias("rk"), "n", "first_row").select("ck.*", F.col("rk.h").alias("rh"), F.col("rk.l").alias("rl"), "n", "first_row")
     linked = forms.join(several, ["h", "l"])

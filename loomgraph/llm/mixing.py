@@ -53,7 +53,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
     for mix, source, share, repeats in goals:
         if share > 0 and there.get(source):
             most = there[source] * repeats / share
-            size_of[mix] = min(size_of.get(mix, most), most) if total_tokens is None else total_tokens
+            size_of[mix] = min(size_of.get(mix, most), most) if total_tokens is None else float(total_tokens)
     plan, open_ = {}, {}
     for mix, source, share, repeats in goals:
         have = there.get(source, 0)
