@@ -113,26 +113,45 @@ def names_in_queries(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def weighted_search(entities: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank): per query word 1 in the search text, 2 in the name, 1.5 per role and 1 per state.
+    """(query_id, doc_id, score, rank): per query word 1 in the search text, 2 in the name, 1.5 per role and 1 per state
+    in which it stands, also inside a word.
 
-    ``entities``: doc_id, name, roles; ``queries``: query_id, tokens.  Fields are taken word by word.
+    ``entities``: doc_id, name, roles; ``queries``: query_id, tokens; repeated words of a query count once.
+    Words are looked up in the vocabulary of the fields, as in ``token_search``.
     """
-    e = entities.select("doc_id", F.lower("name").alias("name"), "roles")
+    e = entities.select("doc_id", "name", "roles")
     role = e.select("doc_id", F.posexplode("roles").alias("i", "r"))
     states = role.select("doc_id", "i", F.posexplode("r.states").alias("j", "s"))
+    field = lambda df, at, w, t: df.select("doc_id", at.alias("at"), F.lit(w).alias("w"), t.alias("t"))
     fields = (
-        e.select("doc_id", F.lit("n").alias("at"), F.lit(2.0).alias("w"), F.col("name").alias("t"))
-        .unionByName(role.select("doc_id", F.concat(F.lit("r"), "i").alias("at"), F.lit(1.5).alias("w"), F.lower("r.role").alias("t")))
-        .unionByName(states.select("doc_id", F.concat_ws(".", F.lit("s"), "i", "j").alias("at"), F.lit(1.0).alias("w"), F.lower("s").alias("t")))
+        field(e, F.lit("t"), 1.0, entity_search_text()).unionByName(field(e, F.lit("n"), 2.0, F.col("name")))
+        .unionByName(field(role, F.concat(F.lit("r"), "i"), 1.5, F.col("r.role"))).unionByName(field(states, F.concat_ws(".", F.lit("s"), "i", "j"), 1.0, F.col("s")))
     )
-    hits = fields.select("doc_id", "at", "w", F.explode(F.array_distinct(word_tokens("t"))).alias("word"))
-    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("word"))
-    found = asked.join(hits, "word")
-    per_word = found.groupBy("query_id", "doc_id", "word").agg((F.sum("w") + 1.0).alias("score"))
-    scores = per_word.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    spread = exploded(fields, ["doc_id", "at", "w"], F.array_distinct(words("t")), "word")
+    asked = exploded(queries, ["query_id"], F.array_distinct("tokens"), "token")
+    inside = holders(spread.select("word").distinct(), asked.select("token").distinct())
+    hits = asked.join(inside, "token").join(spread, "word").select("query_id", "doc_id", "token", "at", "w").distinct()
+    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top_k(scores, "query_id", "score", "doc_id", k)
 
 
+def summary_context(found: DataFrame, most: int = 17) -> DataFrame:
+    """(query_id, used, context): the best summaries of a query's entities as one text.
+
+    ``found``: query_id, doc_id, name, summary, score.  Blank summaries go; the ``most`` best by score stay, in that
+    order, as ``Entity: name``, ``Summary: text``, blank lines between; so a list has a bound.
+    """
+    kept = top_k(found.where(F.trim("summary") != ""), "query_id", "score", "doc_id", most)
+    line = F.concat(F.lit("Entity: "), F.coalesce("name", F.lit("")), F.lit("\nSummary: "), "summary")
+    lists = kept.groupBy("query_id").agg(F.count("*").alias("used"), F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))).alias("x"))
+    return lists.select("query_id", "used", F.array_join(F.transform("x", lambda s: s["t"]), "\n\n").alias("context"))
+
+
+def instructed(task: str, query: Column) -> Column:
+    """A query as instruction-tuned embedders want it."""
+    return F.concat(F.lit(f"Instruct: {task}\nQuery: "), query)
+
+
 # Vectors
 
 

@@ -185,7 +185,7 @@ QUERIES = {f.__name__: f for f in (
     answers_extracted, em_f1, em_f1_by_group, comparison, judge_metrics, judge_summary, chapter_metrics, results_with_truth, token_usage, missing_documents, missing_chunks, reid_documents,
 )}
 
-_STEPS = MEMORY_SQL + """, st AS (SELECT vp_id AS question_id, (row_number() OVER (PARTITION BY vp_id ORDER BY id) - 1)::INT AS q_idx, coalesce(text, '') AS text FROM qs),
+_STEPS = MEMORY_SQL + """, st AS (SELECT vp_id AS question_id, (row_number() OVER (PARTITION BY vp_id ORDER BY id) - 1)::BIGINT AS q_idx, coalesce(text, '') AS text FROM qs),
 steps AS (SELECT question_id, q_idx, CASE WHEN q_idx % 3 = 0 THEN text ELSE text || ' <ENTITY_Q' || q_idx || '>' END AS template, q_idx % 7 <> 6 AS need FROM st),
 run AS (SELECT s.question_id, s.q_idx, CASE WHEN d.q_idx IS NOT NULL AND d.need THEN 1 ELSE 0 END AS link, s.need FROM steps s LEFT JOIN steps d ON d.question_id = s.question_id AND d.q_idx = s.q_idx AND s.q_idx % 3 <> 0),
 grp AS (SELECT *, sum(1 - link) OVER (PARTITION BY question_id ORDER BY q_idx) AS g FROM run),
@@ -216,7 +216,7 @@ WITH r AS (SELECT question_row, min('Thought: Answer: none yet. Answer: ' || reg
 s AS (SELECT question_row, regexp_replace(string_split(reply, 'Answer: ')[-1], '^[\pZ\x09-\x0d\x{85}]+|[\pZ\x09-\x0d\x{85}]+$', '', 'g') AS t FROM r)
 SELECT question_row, CASE WHEN regexp_matches(t, '^[\d, ]*\d[\d, ]*\.$') THEN left(t, length(t) - 1) ELSE t END AS answer FROM s""",
     "em_f1": _PRED + " SELECT * FROM sc",
-    "em_f1_by_group": _PRED + " SELECT verdict, grouping(verdict)::INT AS overall, count(*) AS n, round(avg(em), 4) AS em, round(avg(f1), 4) AS f1 FROM sc GROUP BY ROLLUP (verdict)",
+    "em_f1_by_group": _PRED + " SELECT verdict, grouping(verdict)::BIGINT AS overall, count(*) AS n, round(avg(em), 4) AS em, round(avg(f1), 4) AS f1 FROM sc GROUP BY ROLLUP (verdict)",
     "comparison": _PRED + ", m AS (SELECT coalesce(round(avg(f1) FILTER (verdict IS NOT TRUE), 6), 0) AS base, coalesce(round(avg(f1) FILTER (verdict), 6), 0) AS other FROM sc) SELECT base, other, round(other - base, 6) AS difference, round(100 * (other - base) / nullif(base, 0), 4) AS improvement FROM m",
     "judge_metrics": _JUDGE + " SELECT * FROM jm",
     "judge_summary": _JUDGE + """ SELECT regexp_extract(q_id, '^(.*)::', 1) AS vp_id, coalesce(round(avg("precision"), 4), 0) AS "precision", coalesce(round(avg(recall), 4), 0) AS recall, coalesce(round(avg(f1), 4), 0) AS f1 FROM jm GROUP BY 1""",
@@ -224,8 +224,8 @@ SELECT question_row, CASE WHEN regexp_matches(t, '^[\d, ]*\d[\d, ]*\.$') THEN le
 h AS (SELECT id, len(f) AS n, CASE WHEN list_contains(f, t) THEN 1 ELSE 0 END AS hit FROM s)
 SELECT id, round(coalesce(hit / nullif(n, 0), 0), 6)::DOUBLE AS "precision", hit::DOUBLE AS recall, round(CASE WHEN hit = 0 THEN 0 ELSE 2 * (hit / n) / (hit / n + 1) END, 6)::DOUBLE AS f1 FROM h""",
     "results_with_truth": "SELECT question_row, q.text, truth, n FROM questions q JOIN (SELECT text, arg_max_null(chunk_id, question_row) AS truth, count(*) AS n FROM questions WHERE text IS NOT NULL GROUP BY text) t ON t.text = q.text WHERE question_row % 20 = 0",
-    "token_usage": "SELECT collection, sum(t)::BIGINT AS total, round(avg(t), 4) AS mean, min(t) AS least, max(t) AS most FROM (SELECT collection, greatest(1, floor(length(coalesce(text, '')) / 4))::INT AS t FROM documents) GROUP BY collection",
+    "token_usage": "SELECT collection, sum(t)::BIGINT AS total, round(avg(t), 4) AS mean, min(t) AS least, max(t) AS most FROM (SELECT collection, greatest(1, floor(length(coalesce(text, '')) / 4))::BIGINT AS t FROM documents) GROUP BY collection",
     "missing_documents": "SELECT i AS doc_idx FROM (SELECT unnest(generate_series(lo, hi)) AS i FROM (SELECT min(doc_idx) AS lo, max(doc_idx) AS hi FROM chunks)) WHERE i NOT IN (SELECT doc_idx FROM chunks)",
-    "missing_chunks": "WITH l AS (SELECT doc_idx, max(chunk_idx) AS m FROM chunks GROUP BY 1), w AS (SELECT doc_idx, unnest(generate_series(0, m)) AS chunk_idx FROM l) SELECT doc_idx, chunk_idx::INT AS chunk_idx FROM w EXCEPT SELECT doc_idx, chunk_idx FROM chunks",
+    "missing_chunks": "WITH l AS (SELECT doc_idx, max(chunk_idx) AS m FROM chunks GROUP BY 1), w AS (SELECT doc_idx, unnest(generate_series(0, m)) AS chunk_idx FROM l) SELECT doc_idx, chunk_idx::BIGINT AS chunk_idx FROM w EXCEPT SELECT doc_idx, chunk_idx FROM chunks",
     "reid_documents": "SELECT (doc_id // 500) * 500 + doc_id % 500 AS global_id, doc_id // 500 AS batch, doc_id % 500 AS local, count(*) OVER (PARTITION BY doc_id // 500) AS processed FROM documents",
 }

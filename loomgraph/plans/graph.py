@@ -177,6 +177,6 @@ FROM named t LEFT JOIN ends ON ends.a = t.id LEFT JOIN named s ON s.id = ends.b
 x AS (SELECT doc_id, can.id, canonical_id, spans, coalesce(len(roles), 0) AS n FROM can JOIN ent USING (id) LEFT JOIN sp USING (canonical_id)),
 g AS (SELECT doc_id, count(*) AS input_entities, count(*) FILTER (id = canonical_id) AS reconciled_entities, count(*) FILTER (id = canonical_id AND spans > 1) AS entities_with_evolution, sum(n)::BIGINT AS total_roles FROM x GROUP BY GROUPING SETS ((doc_id), ()))
 SELECT *, round(coalesce(reconciled_entities / nullif(input_entities, 0), 0), 6) AS compression_ratio, round(coalesce(total_roles / nullif(reconciled_entities, 0), 0), 6) AS avg_roles FROM g""",
-    "role_histogram": MEMORY_SQL + " SELECT (coalesce(len(roles), 0) // 10 * 10)::INT AS bucket, count(*) AS entities FROM ent GROUP BY 1",
+    "role_histogram": MEMORY_SQL + " SELECT (coalesce(len(roles), 0) // 10 * 10)::BIGINT AS bucket, count(*) AS entities FROM ent GROUP BY 1",
     "corpus_stats": MEMORY_SQL + " SELECT count(*) AS entities, count(*) FILTER (len(roles) > 0) AS with_roles, round(avg(coalesce(len(roles), 0)), 6) AS avg_roles, count(DISTINCT doc_id) AS documents, count(DISTINCT chunk_id) AS chunks FROM ent",
 }

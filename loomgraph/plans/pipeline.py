@@ -78,10 +78,10 @@ ORACLES = {
     "extracted_entities": f"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(translate(text, '!?', '..'), '.'), lambda x: {_STRIP}), lambda x: x <> '') AS s FROM documents),
 w AS (SELECT doc_id, s, unnest(range(0, len(s), 4)) AS st FROM s WHERE len(s) > 0),
-n AS (SELECT doc_id, (st // 4)::INT AS c, unnest({_CAPS.format("array_to_string(s[st + 1:st + 4], '. ') || '.'")}) AS name FROM w)
+n AS (SELECT doc_id, (st // 4)::BIGINT AS c, unnest({_CAPS.format("array_to_string(s[st + 1:st + 4], '. ') || '.'")}) AS name FROM w)
 SELECT doc_id, {_KEY.format('name')} AS key, min(c) AS first_chunk, count(*) AS mentions FROM n GROUP BY 1, 2""",
     "chunk_mentions": MEMORY_SQL + f", {_CHUNKS}, said AS (SELECT DISTINCT chunk_id, {_KEY.format('name')} AS key FROM (SELECT chunk_id, unnest({_CAPS.format('text')}) AS name FROM ck)), kn AS (SELECT DISTINCT chunk_id, {_KEY.format('name')} AS key, 1 AS hit FROM ent WHERE {_KEY.format('name')} <> '') SELECT chunk_id, count(*) AS said, count(hit) AS known FROM said LEFT JOIN kn USING (chunk_id, key) GROUP BY chunk_id",
-    "question_mentions": f"SELECT question_row, (i - 1)::INT AS pos, name FROM (SELECT question_row, unnest(l) AS name, generate_subscripts(l, 1) AS i FROM (SELECT question_row, list_filter(regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}-]+(?: \\p{{Lu}}[\\p{{L}}-]+)+'), lambda x, i: list_position(regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}-]+(?: \\p{{Lu}}[\\p{{L}}-]+)+'), x) = i) AS l FROM questions WHERE text IS NOT NULL))",
+    "question_mentions": f"SELECT question_row, (i - 1)::BIGINT AS pos, name FROM (SELECT question_row, unnest(l) AS name, generate_subscripts(l, 1) AS i FROM (SELECT question_row, list_filter(regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}-]+(?: \\p{{Lu}}[\\p{{L}}-]+)+'), lambda x, i: list_position(regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}-]+(?: \\p{{Lu}}[\\p{{L}}-]+)+'), x) = i) AS l FROM questions WHERE text IS NOT NULL))",
     "space_time_edges": f"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(translate(text, '!?', '..'), '.'), lambda x: {_STRIP}), lambda x: x <> '') AS s FROM documents),
 w AS (SELECT doc_id, s, unnest(range(0, len(s), 4)) AS st FROM s WHERE len(s) > 0),

@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import answers, graph, pipeline, problems, retrieval
 
+
+def _wide(build):
+    """Whole numbers as bigint, the width the SQL twins give."""
+
+    def query(spark, sf_dir):
+        df = build(spark, sf_dir)
+        return df.withColumns({c: F.col(c).cast("bigint") for c, kind in df.dtypes if kind == "int"})
+
+    return query
+
+
 MODULES = (problems, graph, retrieval, answers, pipeline)
-QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+QUERIES = {k: f if m is problems else _wide(f) for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

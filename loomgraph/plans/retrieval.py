@@ -79,6 +79,30 @@ def query_entities(spark, sf_dir):
     return r.names_in_queries(asked, _named(spark, sf_dir).select("doc_id", "name"))
 
 
+def summary_context(spark, sf_dir):
+    """Summaries of the entities that a name search finds, best first."""
+    rows = m.first_rows(table(spark, sf_dir, "entity_nodes").select("id", "name", "summary", "arrived_at"), "id", "arrived_at").select(F.col("id").alias("doc_id"), "name", "summary")
+    corpus = rows.where("summary is not null and name is not null")
+    found = r.bm25(corpus.select("doc_id", words("name").alias("tokens")), _asked(spark, sf_dir).select("query_id", words("text").alias("tokens")), 30).drop("rank")
+    return r.summary_context(found.join(corpus, "doc_id"))
+
+
+def baseline_evidence(spark, sf_dir):
+    """The five best documents of a title search as evidence, in order."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Q: What is "), F.coalesce("title", F.lit("")), F.lit("? A: "), F.coalesce(F.substring("text", 1, 300), F.lit(""))).alias("t"))
+    best = bm25_documents(spark, sf_dir).where("rank <= 5").join(docs, "doc_id")
+    lists = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "t"))).alias("x"))
+    return lists.select("query_id", F.md5(F.array_join(F.transform("x", lambda s: s["t"]), "\n")).alias("evidence_md5"), F.size("x").alias("documents"))
+
+
+def compiled_results(spark, sf_dir):
+    """Every twentieth question with the answer a run has for it: questions without one get ``NA`` and no tokens; rows without text are errors and go."""
+    q = table(spark, sf_dir, "questions").where("question_row % 20 = 0")
+    got = table(spark, sf_dir, "questions").where("answers is not null and size(answers) > 0 and answers[0] like 'TEXT:%'").select(F.col("question_row").alias("row"), F.substring(F.get("answers", F.lit(0)), 6, 1000).alias("answer"))
+    out = q.where("text is not null").join(got, q["question_row"] == got["row"], "left")
+    return out.select("question_row", F.coalesce("answer", F.lit("NA")).alias("answer"), F.when(F.col("answer").isNull(), 0).otherwise(c.token_estimate(F.col("answer"))).alias("tokens"))
+
+
 def search_texts(spark, sf_dir):
     return _named(spark, sf_dir).select(F.col("doc_id").alias("id"), r.entity_search_text().alias("search_text"))
 
@@ -124,7 +148,7 @@ def cache_misses(spark, sf_dir):
     return mine.join(alt, "key", "left_anti").groupBy("key").agg(F.min("name").alias("name"), F.count("*").alias("uses"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_sentences, chunks_whole, parse_output, bm25_entities, bm25_search_texts, bm25_documents, token_search, weighted_search, approximate_matches, query_entities, search_texts, knn_cosine, knn_other_chunk, rerank_cosine, dual_retrieval, cache_misses)}
+QUERIES = {f.__name__: f for f in (chunk_sentences, chunks_whole, parse_output, bm25_entities, bm25_search_texts, bm25_documents, token_search, weighted_search, approximate_matches, query_entities, summary_context, baseline_evidence, compiled_results, search_texts, knn_cosine, knn_other_chunk, rerank_cosine, dual_retrieval, cache_misses)}
 
 _WS = r"[\pZ\x09-\x0d\x{85}]"
 
@@ -166,15 +190,20 @@ ORACLES = {
     "chunk_sentences": f"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(translate(text, '!?', '..'), '.'), lambda x: {_strip('x')}), lambda x: x <> '') AS s FROM documents),
 w AS (SELECT doc_id, s, unnest(range(0, len(s), 2)) AS st FROM s WHERE len(s) > 0)
-SELECT doc_id, (st // 2)::INT AS chunk_idx, st::INT AS start_sentence, least(st + 3, len(s))::INT AS end_sentence, array_to_string(s[st + 1:st + 3], '. ') || '.' AS chunk_text FROM w""",
-    "chunks_whole": "SELECT doc_id, 0 AS chunk_idx, length(t)::INT AS chars, greatest(1, floor(length(t) / 4))::INT AS tokens FROM (SELECT doc_id, CASE WHEN title IS NOT NULL THEN title || chr(10) || text ELSE text END AS t FROM documents)",
+SELECT doc_id, (st // 2)::BIGINT AS chunk_idx, st::BIGINT AS start_sentence, least(st + 3, len(s))::BIGINT AS end_sentence, array_to_string(s[st + 1:st + 3], '. ') || '.' AS chunk_text FROM w""",
+    "chunks_whole": "SELECT doc_id, 0::BIGINT AS chunk_idx, length(t)::BIGINT AS chars, greatest(1, floor(length(t) / 4))::BIGINT AS tokens FROM (SELECT doc_id, CASE WHEN title IS NOT NULL THEN title || chr(10) || text ELSE text END AS t FROM documents)",
     "bm25_entities": _NAMED + _BM_ENTITIES + " SELECT * FROM bm",
     "bm25_search_texts": _NAMED + _bm25(f"SELECT doc_id, {_tokens(_SEARCH_TEXT)} AS tokens FROM named", f"SELECT query_id, {_tokens('text')} AS tokens FROM asked") + " SELECT * FROM bm",
     "bm25_documents": _BM_DOCS + " SELECT * FROM bm",
     "token_search": _NAMED + f", t AS (SELECT query_id, unnest({_words('text')}) AS token FROM asked), x AS (SELECT query_id, doc_id, count(*) AS score FROM t JOIN named ON contains(lower(name), token) GROUP BY ALL) SELECT query_id, doc_id, score, {_TOP} FROM x QUALIFY rank <= 10",
-    "weighted_search": _NAMED + f""", f AS (SELECT doc_id, 2.0 AS w, lower(name) AS t FROM named UNION ALL SELECT doc_id, 1.5, lower(r.role) FROM (SELECT doc_id, unnest(roles) AS r FROM named) UNION ALL SELECT doc_id, 1.0, lower(s) FROM (SELECT doc_id, unnest(r.states) AS s FROM (SELECT doc_id, unnest(roles) AS r FROM named))),
-h AS (SELECT doc_id, w, unnest(list_distinct({_tokens('t')})) AS word FROM f), t AS (SELECT query_id, unnest(list_distinct({_tokens('text')})) AS word FROM asked),
-x AS (SELECT query_id, doc_id, round(sum(s), 6)::DOUBLE AS score FROM (SELECT query_id, doc_id, word, sum(w) + 1.0 AS s FROM t JOIN h USING (word) GROUP BY ALL) GROUP BY ALL) SELECT query_id, doc_id, score, {_TOP} FROM x QUALIFY rank <= 10""",
+    "weighted_search": _NAMED + f""", f AS (SELECT doc_id, 1.0 AS w, lower({_SEARCH_TEXT}) AS t FROM named UNION ALL SELECT doc_id, 2.0, lower(name) FROM named UNION ALL SELECT doc_id, 1.5, lower(r.role) FROM (SELECT doc_id, unnest(roles) AS r FROM named) UNION ALL SELECT doc_id, 1.0, lower(s) FROM (SELECT doc_id, unnest(r.states) AS s FROM (SELECT doc_id, unnest(roles) AS r FROM named))),
+t AS (SELECT query_id, unnest(list_distinct({_tokens('text')})) AS token FROM asked),
+x AS (SELECT query_id, doc_id, round(sum(w), 6)::DOUBLE AS score FROM t JOIN f ON contains(f.t, token) GROUP BY ALL) SELECT query_id, doc_id, score, {_TOP} FROM x QUALIFY rank <= 10""",
+    "summary_context": _NAMED + ", sm AS (SELECT id AS doc_id, name, summary FROM entity_nodes WHERE summary IS NOT NULL AND name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrived_at) = 1)" + _bm25(f"SELECT doc_id, {_words('name')} AS tokens FROM sm", f"SELECT query_id, {_words('text')} AS tokens FROM asked", 30) + """,
+k AS (SELECT query_id, name, summary, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM bm JOIN sm USING (doc_id) WHERE trim(summary) <> '' QUALIFY rk <= 17)
+SELECT query_id, count(*) AS used, string_agg('Entity: ' || coalesce(name, '') || chr(10) || 'Summary: ' || summary, chr(10) || chr(10) ORDER BY rk) AS context FROM k GROUP BY query_id""",
+    "baseline_evidence": _BM_DOCS + " SELECT query_id, md5(string_agg('Q: What is ' || coalesce(title, '') || '? A: ' || coalesce(left(text, 300), ''), chr(10) ORDER BY rank)) AS evidence_md5, count(*)::BIGINT AS documents FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id",
+    "compiled_results": "SELECT question_row, CASE WHEN answers[1] LIKE 'TEXT:%' THEN substr(answers[1], 6) ELSE 'NA' END AS answer, CASE WHEN answers[1] LIKE 'TEXT:%' THEN greatest(1, length(substr(answers[1], 6)) // 4)::BIGINT ELSE 0 END AS tokens FROM questions WHERE question_row % 20 = 0 AND text IS NOT NULL",
     "approximate_matches": _NAMED + f""", a AS (SELECT query_id, regexp_replace(lower(text), '^"|"$', '', 'g') AS mn FROM asked WHERE trim(text) <> ''), n AS (SELECT doc_id, regexp_replace(lower(name), '^"|"$', '', 'g') AS nm FROM named WHERE trim(name) <> '')
 SELECT query_id AS mention_id, doc_id FROM (SELECT *, {_words('mn')} AS mw FROM a), (SELECT *, {_words('nm')} AS nw FROM n) WHERE len(list_intersect(mw, nw)) > 0 OR (len(mw) > 0 AND contains(nm, mn)) OR (len(nw) > 0 AND contains(mn, nm))""",
     "query_entities": _NAMED + f""", q AS (SELECT question_row AS query_id, list_distinct({_words("regexp_replace(text, '[?!.,\"''’]', ' ', 'g')")}) AS qs FROM questions WHERE question_row % 20 = 0), n AS (SELECT doc_id, list_distinct({_words('name')}) AS ws FROM named) SELECT query_id, doc_id FROM q JOIN n ON len(ws) > 0 AND list_has_all(qs, ws)""",
@@ -184,7 +213,7 @@ SELECT query_id AS mention_id, doc_id FROM (SELECT *, {_words('mn')} AS mw FROM
     "rerank_cosine": _BM_DOCS + f", e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), o AS (SELECT query_id, doc_id, round(coalesce(list_cosine_similarity(a.v, b.v), 0.0), 6) AS score FROM bm LEFT JOIN e a ON a.vec_id = query_id LEFT JOIN e b ON b.vec_id = doc_id) SELECT *, {_TOP} FROM o QUALIFY rank <= 5",
     "dual_retrieval": _NAMED + _RES + _BM_ENTITIES + _bm25("SELECT q_id AS doc_id, " + _tokens("question") + " AS tokens FROM res", "SELECT query_id, " + _tokens("text") + " AS tokens FROM asked", 15, "2") + """,
 span AS (SELECT DISTINCT vp_id, answer AS entity_id FROM ans WHERE answer IN (SELECT id FROM ent)),
-u AS (SELECT query_id, question, answer_names, score, 0 AS source, q_id FROM bm JOIN span ON span.entity_id = doc_id JOIN res USING (vp_id) UNION ALL SELECT query_id, question, answer_names, score, 1, q_id FROM bm2 JOIN res ON q_id = doc_id),
+u AS (SELECT query_id, question, answer_names, score, 0::BIGINT AS source, q_id FROM bm JOIN span ON span.entity_id = doc_id JOIN res USING (vp_id) UNION ALL SELECT query_id, question, answer_names, score, 1::BIGINT, q_id FROM bm2 JOIN res ON q_id = doc_id),
 o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, question, answer_names ORDER BY source, score DESC, q_id) = 1)
 SELECT query_id, q_id, question, answer_names, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, q_id) AS rank FROM o QUALIFY rank <= 15""",
     "cache_misses": _NAMED + " SELECT md5(name) AS key, min(name) AS name, count(*) AS uses FROM named WHERE md5(name) NOT IN (SELECT md5(coalesce(name, '')) FROM entity_nodes_alt) GROUP BY 1",
