@@ -20,6 +20,8 @@ CLOSERS = "\"')]}”’»›」』）】"
 STOPS, WIDE_STOPS = "!?…", "。！？；"
 #: A word of more tokens than this gets units of a few characters, so that it can be cut inside.
 LONG_WORD, UNIT_CHARS = 16, 4
+#: Characters read at once, and cut before the pieces go on.
+READ_CHARS = 1_000_000
 
 #: What is remembered of a unit: tokens, characters and marks, packed into one integer.
 _LEN, _MARK, _TOKENS, _CHARS = 20, 44, (1 << 20) - 1, (1 << 24) - 1
@@ -47,8 +49,8 @@ def unit_marks(unit: str) -> int:
     return marks
 
 
-def strengths(marks: np.ndarray) -> np.ndarray:
-    """Strength of the boundary before each unit.
+def strengths(marks: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Strength of the boundary before each unit of many texts; ``head`` marks the empty unit put before each text.
 
     It counts where the next visible unit begins: two or more line breaks since the last visible
     one make it a paragraph's end, one makes it a line's; else a stop makes it a sentence's,
@@ -63,13 +65,13 @@ def strengths(marks: np.ndarray) -> np.ndarray:
     breaks = np.cumsum((marks >> 2) & 3, dtype=np.int32)
     lines = breaks - breaks[prior]
     gap = ((marks & _LEADS) != 0) | (before < at - 1)
-    tail = np.where(before < 0, 0, (marks[prior] >> 4) & 3)
+    tail = (marks[prior] >> 4) & 3
     short = (marks[np.maximum(prior - 1, 0)] & _ABBREVIATION) != 0
     out = gap.astype(np.uint8)
     out[(tail == _WIDE) | gap & ((marks & _SMALL) == 0) & ((tail == _STOP) | (tail == _DOT) & ~short)] = SENTENCE
     out[lines == 1] = LINE
     out[lines > 1] = PARAGRAPH
-    out[white | (before < 0)] = INNER
+    out[white | head[prior]] = INNER
     return out
 
 
@@ -115,9 +117,8 @@ class _Text:
             self.cracked = fine
         self.starts = [0, *np.cumsum((code >> _LEN) & _CHARS).tolist()]
         self.sums = [0, *np.cumsum(code & _TOKENS).tolist()]
-        marks = (code >> _MARK).astype(np.int16)
-        self.white = (marks & _WHITE).astype(np.uint8).tobytes()
-        self.strength = strengths(marks).tobytes()
+        self.marks = (code >> _MARK).astype(np.int16)
+        self.white = self.strength = b""
 
     def tokens(self, i: int, j: int) -> int:
         """Of the units i to j as a text of their own.
@@ -135,7 +136,8 @@ class _Text:
         return self.sums[j] - self.sums[i]
 
     def cut(self, i: int, j: int) -> int:
-        """The strongest boundary in the middle half, by tokens; of equals the one nearest to the midpoint."""
+        """The strongest boundary in the middle half, by tokens; of equals the one nearest to the midpoint.  Only where
+        the middle half has none is it looked for elsewhere, and only a text without any is cut inside a word."""
         lo_t, hi_t = self.sums[i], self.sums[j]
         quarter = (hi_t - lo_t) / 4
         lo = max(i + 1, bisect_left(self.sums, lo_t + quarter, i, j))
@@ -144,6 +146,9 @@ class _Text:
             return min(max(i + 1, bisect_left(self.sums, (lo_t + hi_t) / 2, i, j)), j - 1)
         mid = min(max(bisect_left(self.sums, (lo_t + hi_t) / 2, lo, hi), lo), hi)
         best = max(self.strength[lo : hi + 1])
+        if best == INNER and (anywhere := max(self.strength[i + 1 : j], default=INNER)):
+            # No end of a word in the middle half: take the strongest boundary there is.
+            lo, hi, best = i + 1, j - 1, anywhere
         right, left = self.strength.find(best, mid, hi + 1), self.strength.rfind(best, lo, mid)
         middle = (lo_t + hi_t) / 2
         return right if left < 0 or right >= 0 and self.sums[right] - middle <= middle - self.sums[left] else left
@@ -159,17 +164,19 @@ class _Text:
         while stack:
             i, j, active = stack.pop()
             if j - i > 1:
-                # Far above the room the sum of the units will do; it may only be too high where words are cut.
+                # Far above the room the sum of the units will do.  Rooms descend: what fits is at the front.
                 n = self.sums[j] - self.sums[i]
-                if n <= 2 * room[active[0]] or not self.cracked:
+                if n <= 2 * room[active[0]]:
                     n = self.tokens(i, j)
-                more = [x for x in active if n > room[x]]
+                done = 0
+                while done < len(active) and n <= room[active[done]]:
+                    ends[active[done]].append(j)
+                    done += 1
+                more = active[done:] if done else active
             else:
                 more = []
-            if len(more) < len(active):
                 for x in active:
-                    if x not in more:
-                        ends[x].append(j)
+                    ends[x].append(j)
             if more:
                 k = self.cut(i, j)
                 stack.append((k, j, more))
@@ -191,6 +198,24 @@ class _Text:
         return out
 
 
+def read_texts(texts: list[str], units: Units) -> list[_Text]:
+    """Texts in units; the strengths of all their boundaries are found in one pass."""
+    out = [_Text(t, units) for t in texts]
+    marks = np.zeros(sum(len(t.marks) + 1 for t in out), np.int16)
+    head = np.zeros(len(marks), bool)
+    at = 0
+    for t in out:
+        head[at] = True
+        marks[at + 1 : at + 1 + len(t.marks)] = t.marks
+        at += len(t.marks) + 1
+    strength, white, at = strengths(marks, head).tobytes(), (marks & _WHITE).astype(np.uint8).tobytes(), 1
+    for t in out:
+        n = len(t.marks)
+        t.strength, t.white = strength[at : at + n], white[at : at + n]
+        at += n + 1
+    return out
+
+
 def split_texts(df: DataFrame, id_col: str, text: str, limits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Texts above a piece size in ordered pieces within it.
 
@@ -224,32 +249,29 @@ def split_texts(df: DataFrame, id_col: str, text: str, limits: DataFrame, vocabu
             return pa.RecordBatch.from_arrays(cells, names=names)
 
         for batch in batches:
-            row, columns, held = [], [[] for _ in range(7)], 0
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                # A character has at most four bytes and a token at least one, so short texts need no count.
-                if not text or len(text) * 4 <= least:
-                    continue
-                t = _Text(text, units)
-                total = t.tokens(0, len(t.starts) - 1)
-                chosen = [x for x, (m, _) in enumerate(spans) if total > m]
-                if not chosen:
-                    continue
-                starts = t.starts
-                for x, got in zip(chosen, t.pieces([spans[x] for x in chosen])):
-                    name = sizes[x][0]
-                    row += [i] * len(got)
-                    columns[0] += [name] * len(got)
-                    columns[1] += range(len(got))
-                    columns[2] += [starts[a] for a, _, _, _ in got]
-                    columns[3] += [starts[b] for _, b, _, _ in got]
-                    columns[4] += [starts[c] for _, _, c, _ in got]
-                    columns[5] += [n for _, _, _, n in got]
-                    columns[6] += [text[starts[a] : starts[c]] for a, _, c, _ in got]
-                held += len(text) * len(chosen)
-                if held > 8_000_000:
+            # A character has at most four bytes and a token at least one, so short texts need no count.
+            texts = [(i, t) for i, t in enumerate(batch.column(1).to_pylist()) if t and len(t) * 4 > least]
+            while texts:
+                n, chars = 0, 0
+                while n < len(texts) and chars < READ_CHARS:
+                    chars += len(texts[n][1])
+                    n += 1
+                row, columns = [], [[] for _ in range(7)]
+                for (i, text), t in zip(texts, read_texts([t for _, t in texts[:n]], units)):
+                    total = t.tokens(0, len(t.starts) - 1)
+                    chosen = [x for x, (m, _) in enumerate(spans) if total > m]
+                    if not chosen:
+                        continue
+                    starts = t.starts
+                    for x, got in zip(chosen, t.pieces([spans[x] for x in chosen])):
+                        row += [i] * len(got)
+                        columns[0] += [sizes[x][0]] * len(got)
+                        columns[1] += range(len(got))
+                        for k, part in enumerate(zip(*got)):
+                            columns[2 + k] += part if k == 3 else [starts[u] for u in part]
+                        columns[6] += [text[starts[a] : starts[c]] for a, _, c, _ in got]
+                if row:
                     yield made(batch.column(0), row, columns)
-                    row, columns, held = [], [[] for _ in range(7)], 0
-            if row:
-                yield made(batch.column(0), row, columns)
+                texts = texts[n:]
 
     return df.select(id_col, text).mapInArrow(run, f"limit_name string, `{id_col}` {kind}, piece int, start_char long, own_start_char long, end_char long, n_tokens long, text string")

@@ -35,7 +35,7 @@ def test_counts_are_the_tokenizers(size, encode, text):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(ALPHABET, max_size=12).map("".join), st.sampled_from([(8, 2), (16, 0), (12, 5)]))
 def test_pieces_make_up_the_text(size, encode, text, limit):
-    t = splitting._Text(text, splitting.Units(size))
+    t = splitting.read_texts([text], splitting.Units(size))[0]
     if not text:
         return
     assert t.tokens(0, len(t.starts) - 1) == len(encode(text))
@@ -49,7 +49,7 @@ def test_pieces_make_up_the_text(size, encode, text, limit):
 
 
 def cuts(text, size, limit=(24, 0)):
-    t = splitting._Text(text, splitting.Units(size))
+    t = splitting.read_texts([text], splitting.Units(size))[0]
     (got,) = t.pieces([limit])
     return [text[t.starts[b] : t.starts[c]] for _, b, c, _ in got]
 
@@ -60,7 +60,7 @@ def test_natural_boundaries_win(size):
     assert cuts(f"{a}\r\n{b}", size)[0] == a + "\r\n"
     assert cuts(f"{a} {b}", size)[0] == a
     text = "We went with Dr. Smith and Prof. B. Jones to see z. B. the old mill at 3.5 miles from there in the late rain of May"
-    t = splitting._Text(text, splitting.Units(size))
+    t = splitting.read_texts([text], splitting.Units(size))[0]
     assert {t.strength[t.starts.index(text.index(w))] for w in (" Smith", " B.", " Jones", " the old", " miles")} == {splitting.WORD}
     assert all(x[0] == " " or i == 0 for i, x in enumerate(cuts("word " * 60, size)))
     wide = "他走了很远的路。" * 12
