@@ -10,7 +10,7 @@ from ..functions.text import word_tokens, words
 from ..operators import chunking as c
 from ..operators import memory as m
 from ..operators import retrieval as r
-from ..session import spread, table
+from ..session import Scratch, spread, table
 from .graph import MEMORY_SQL
 
 K = 10
@@ -88,10 +88,16 @@ def summary_context(spark, sf_dir):
 
 
 def baseline_evidence(spark, sf_dir):
-    """The five best documents of a title search as evidence, in order."""
-    docs = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Q: What is "), F.coalesce("title", F.lit("")), F.lit("? A: "), F.coalesce(F.substring("text", 1, 300), F.lit(""))).alias("t"))
-    best = bm25_documents(spark, sf_dir).where("rank <= 5").join(docs, "doc_id")
-    lists = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "t"))).alias("x"))
+    """The five best documents of a title search as evidence, in order, with their whole texts."""
+    return evidence(bm25_documents(spark, sf_dir).where("rank <= 5"), table(spark, sf_dir, "documents"))
+
+
+def evidence(best: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, evidence_md5, documents) of ``best`` (query_id, doc_id, rank) and ``docs`` (doc_id, title, text); only texts that are listed are moved to their queries."""
+    best = Scratch(best.sparkSession, "evidence").cut(best.select("query_id", "doc_id", "rank"), "best")
+    line = F.concat(F.lit("Q: What is "), F.coalesce("title", F.lit("")), F.lit("? A: "), F.coalesce("text", F.lit("")))
+    listed = best.join(docs.select("doc_id", "title", "text"), "doc_id").select("query_id", F.struct("rank", line.alias("t")).alias("x"))
+    lists = listed.groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return lists.select("query_id", F.md5(F.array_join(F.transform("x", lambda s: s["t"]), "\n")).alias("evidence_md5"), F.size("x").alias("documents"))
 
 
