@@ -107,26 +107,45 @@ def most_connected(memory: Memory, edges: DataFrame, n: int | None = None) -> Da
     return out.select("id", "name", "degree")
 
 
+def _real_merges(node_ids: DataFrame, merges: DataFrame) -> DataFrame:
+    """(source_id, target_id, place) of merges between two different, known nodes; a source goes into one target, the first by ``place``."""
+    place = F.col("place") if "place" in merges.columns else F.lit(0)
+    first = merges.where("source_id <> target_id").groupBy("source_id").agg(F.min(F.struct(place.alias("place"), "target_id")).alias("x")).select("source_id", "x.target_id", "x.place")
+    known = node_ids.select("node_id")
+    return first.join(known.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").join(known.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
+
+
 def merge_context_nodes(nodes: DataFrame, merges: DataFrame) -> DataFrame:
     """Merge space or time nodes: ``nodes`` (node_id, chunk_id, name_history map, current_name), ``merges``
-    (source_id, target_id), one source per target.
+    (source_id, target_id, and place if their order matters), any number of sources per target; a target is no source itself.
 
-    The target's history wins per chunk; the later chunk's current name stays; sources go.  Merges that
-    name an unknown node change nothing.
+    Per chunk the target's history wins, then that of the first source by (place, source_id); the latest chunk's
+    current name stays, of equal chunks the first's; sources go.  Merges that name an unknown node change nothing.
     """
-    source = nodes.select(F.col("node_id").alias("source_id"), F.col("chunk_id").alias("s_chunk"), F.col("name_history").alias("s_history"), F.col("current_name").alias("s_name"))
-    real = merges.join(source, "source_id").join(nodes.select(F.col("node_id").alias("target_id")), "target_id")
+    real = _real_merges(nodes, merges)
+    moved = nodes.join(real.withColumnRenamed("source_id", "node_id"), "node_id")
+    moved = moved.select("target_id", F.struct("place", "node_id").alias("place"), "chunk_id", "name_history", "current_name")
     kept = nodes.join(real.select(F.col("source_id").alias("node_id")), "node_id", "left_anti")
-    out = kept.join(real.withColumnRenamed("target_id", "node_id"), "node_id", "left")
+    said = moved.select("target_id", "place", F.explode("name_history").alias("key", "value")).groupBy("target_id", "key").agg(F.min_by("value", "place").alias("value"))
+    said = said.groupBy("target_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("s_history"))
+    last = moved.where("chunk_id is not null").groupBy("target_id", "chunk_id").agg(F.min_by("current_name", "place").alias("s_name"))
+    last = last.groupBy("target_id").agg(F.max("chunk_id").alias("s_chunk"), F.max_by("s_name", "chunk_id").alias("s_name"))
+    out = kept.join(said.withColumnRenamed("target_id", "node_id"), "node_id", "left").join(last.withColumnRenamed("target_id", "node_id"), "node_id", "left")
     extra = F.map_filter("s_history", lambda k, v: ~F.map_contains_key("name_history", k))
     later = F.coalesce(F.col("s_chunk") > F.col("chunk_id"), F.lit(False))
     return out.select(
         "node_id", F.when(later, F.col("s_chunk")).otherwise(F.col("chunk_id")).alias("chunk_id"),
-        F.when(F.col("s_history").isNotNull(), F.map_concat("name_history", extra)).otherwise(F.col("name_history")).alias("name_history"),
+        F.when(F.col("s_history").isNotNull(), F.coalesce(F.map_concat("name_history", extra), "s_history")).otherwise(F.col("name_history")).alias("name_history"),
         F.when(later, F.col("s_name")).otherwise(F.col("current_name")).alias("current_name"),
     )
 
 
+def redirect_edges(edges: DataFrame, nodes: DataFrame, merges: DataFrame) -> DataFrame:
+    """(entity_id, node_id): edges to merged nodes lead to their targets, each once; ``nodes`` and ``merges`` as merged."""
+    moved = _real_merges(nodes, merges).select(F.col("source_id").alias("node_id"), "target_id")
+    return edges.join(moved, "node_id", "left").select("entity_id", F.coalesce("target_id", "node_id").alias("node_id")).distinct()
+
+
 def history_text(history: Column) -> Column:
     """``Chunk{k}:{v}`` in the order of the keys as texts."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(history)), lambda e: F.concat(F.lit("Chunk"), e["key"], F.lit(":"), e["value"])), ", ")

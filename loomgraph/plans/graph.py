@@ -54,7 +54,7 @@ def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_nodes_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places as space nodes, one per chunk and name; nodes of one name in a document merge into the first of the two latest chunks."""
+    """Places as space nodes, one per chunk and name; all nodes of one name in a document merge into the first."""
     nodes, merges = _context(m.load(spark, sf_dir))
     out = m.merge_context_nodes(nodes, merges)
     return out.select("node_id", "chunk_id", "current_name", m.history_text(F.col("name_history")).alias("history"))
@@ -65,8 +65,9 @@ def _context(mem: m.Memory) -> tuple[DataFrame, DataFrame]:
     named = mem.entities.where(F.col("name").isNotNull() & (key != "")).select("doc_id", key.alias("k"), "chunk_id", "chunk_idx", "id", "name", "pos")
     nodes = named.select(F.col("id").alias("node_id"), "chunk_id", F.create_map("chunk_id", "name").alias("name_history"), F.col("name").alias("current_name"))
     place = F.struct("chunk_idx", "pos", "id")
-    ends = named.groupBy("doc_id", "k").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a.id <> b.id")
-    return nodes, ends.select(F.col("b.id").alias("source_id"), F.col("a.id").alias("target_id"))
+    heads = named.groupBy("doc_id", "k").agg(F.min(place).alias("a")).select(F.col("doc_id").alias("d"), F.col("k").alias("k2"), F.col("a.id").alias("target_id"))
+    merges = named.join(heads, (F.col("k") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("d"))).where("id <> target_id")
+    return nodes, merges.select(F.col("id").alias("source_id"), "target_id", place.alias("place"))
 
 
 def entities_unmerged(mem: m.Memory) -> DataFrame:
