@@ -104,7 +104,7 @@ def evidence(best: DataFrame, docs: DataFrame) -> DataFrame:
 def compiled_results(spark, sf_dir):
     """Every twentieth question with the answer a run has for it: questions without one get ``NA`` and no tokens; rows without text are errors and go."""
     q = table(spark, sf_dir, "questions").where("question_row % 20 = 0")
-    got = table(spark, sf_dir, "questions").where("answers is not null and size(answers) > 0 and answers[0] like 'TEXT:%'").select(F.col("question_row").alias("row"), F.substring(F.get("answers", F.lit(0)), 6, 1000).alias("answer"))
+    got = table(spark, sf_dir, "questions").where("answers is not null and size(answers) > 0 and answers[0] like 'TEXT:%'").select(F.col("question_row").alias("row"), F.substr(F.get("answers", F.lit(0)), F.lit(6)).alias("answer"))
     out = q.where("text is not null").join(got, q["question_row"] == got["row"], "left")
     return out.select("question_row", F.coalesce("answer", F.lit("NA")).alias("answer"), F.when(F.col("answer").isNull(), 0).otherwise(c.token_estimate(F.col("answer"))).alias("tokens"))
 
