@@ -24,7 +24,7 @@ LONG_WORD, UNIT_CHARS = 16, 4
 READ_CHARS = 1_000_000
 
 #: What is remembered of a unit: tokens, characters and marks, packed into one integer.
-_LEN, _MARK, _TOKENS, _CHARS = 20, 44, (1 << 20) - 1, (1 << 24) - 1
+_LEN, _MARK, _TOKENS, _CHARS = 24, 52, (1 << 24) - 1, (1 << 28) - 1
 _WHITE, _LEADS, _BREAKS, _TAIL, _SMALL, _ABBREVIATION = 1, 2, 4, 16, 64, 128
 _DOT, _STOP, _WIDE = 1, 2, 3
 
@@ -94,46 +94,69 @@ class Units:
 
 
 class _Text:
-    """One text in units that are never cut: where they start, their tokens, the boundaries' strengths."""
+    """One text in units that are never cut: where they start, their tokens, the boundaries' strengths.
+
+    A unit is a word of the tokenizer; a long word is several units, between which its tokens are shared out, so that the
+    sums are exact wherever a word begins.
+    """
 
     def __init__(self, text: str, units: Units):
         self.text, self.size, self.codes = text, units.size, units.codes
         words = units.size.words(text)
-        whole = words is not None
-        if not whole:
-            words = [text[i : i + UNIT_CHARS] for i in range(0, len(text), UNIT_CHARS)]
         code = np.fromiter(map(units.codes.__getitem__, words), np.int64, len(words))
-        self.cracked: list[int] = [] if whole else list(range(len(words)))
-        if whole and len(code) and (long := np.flatnonzero((code & _TOKENS) > LONG_WORD)).size:
-            fine, parts, done = [], [], 0
+        chars, tokens, marks = (code >> _LEN) & _CHARS, code & _TOKENS, (code >> _MARK).astype(np.int16)
+        self.first: list[int] = []  # units with which cut words begin, and those behind their ends
+        self.behind: list[int] = []
+        if len(code) and (long := np.flatnonzero((tokens > LONG_WORD) & (chars > UNIT_CHARS + 1))).size:
+            parts: list[list] = [[], [], []]
+            done = n = 0
             for k in long.tolist():
-                parts.append(code[done:k])
+                for part, whole in zip(parts, (chars, tokens, marks)):
+                    part.append(whole[done:k])
+                n += k - done
                 done = k + 1
-                first = sum(map(len, parts))
-                cells = [words[k][i : i + UNIT_CHARS] for i in range(0, len(words[k]), UNIT_CHARS)]
-                fine += range(first, first + len(cells))
-                parts.append(np.fromiter(map(units.codes.__getitem__, cells), np.int64, len(cells)))
-            code = np.concatenate([*parts, code[done:]])
-            self.cracked = fine
-        self.starts = [0, *np.cumsum((code >> _LEN) & _CHARS).tolist()]
-        self.sums = [0, *np.cumsum(code & _TOKENS).tolist()]
-        self.marks = (code >> _MARK).astype(np.int16)
+                word = words[k]
+                # No unit of one character at the end: as a text's beginning it could be read together with what follows.
+                ends = [*range(UNIT_CHARS, len(word) - 1, UNIT_CHARS), len(word)]
+                cells = np.array([0, *ends])
+                parts[0].append(np.diff(cells))
+                parts[1].append(np.diff(cells * int(tokens[k]) // len(word)))
+                parts[2].append(np.array([unit_marks(word[a:b]) for a, b in zip(cells, ends)], np.int16))
+                self.first.append(n)
+                n += len(ends)
+                self.behind.append(n)
+            chars, tokens, marks = (np.concatenate([*part, whole[done:]]) for part, whole in zip(parts, (chars, tokens, marks)))
+        self.starts = [0, *np.cumsum(chars).tolist()]
+        self.sums = [0, *np.cumsum(tokens).tolist()]
+        self.marks = marks
         self.white = self.strength = b""
 
+    def _count(self, i: int, j: int) -> int:
+        return len(self.size.encoding.encode_ordinary(self.text[self.starts[i] : self.starts[j]]))
+
     def tokens(self, i: int, j: int) -> int:
         """Of the units i to j as a text of their own.
 
-        Words add up.  White space at the end, which the tokenizer reads as one run only there, and
-        texts with words that are cut are counted anew.
+        Whole words add up.  White space at the end, which the tokenizer reads as one run only there, and
+        parts of cut words at both ends are counted anew.
         """
-        if self.cracked and bisect_left(self.cracked, i) < bisect_left(self.cracked, j):
-            return len(self.size.encoding.encode_ordinary(self.text[self.starts[i] : self.starts[j]]))
+        n = 0
         if j > i and self.white[j - 1]:
             k = j - 1
             while k > i and self.white[k - 1]:
                 k -= 1
-            return self.sums[k] - self.sums[i] + (self.codes[self.text[self.starts[k] : self.starts[j]]] & _TOKENS)
-        return self.sums[j] - self.sums[i]
+            n, j = self.codes[self.text[self.starts[k] : self.starts[j]]] & _TOKENS, k
+        if self.first and j > i:
+            k = bisect_right(self.first, i) - 1
+            if k >= 0 and self.first[k] < i < self.behind[k]:
+                end = min(self.behind[k], j)
+                n += self._count(i, end)
+                i = end
+            k = bisect_left(self.first, j) - 1
+            if j > i and k >= 0 and j < self.behind[k]:
+                n += self._count(self.first[k], j)
+                j = self.first[k]
+        return n + self.sums[j] - self.sums[i]
 
     def cut(self, i: int, j: int) -> int:
         """The strongest boundary in the middle half, by tokens; of equals the one nearest to the midpoint.  Only where
@@ -164,11 +187,8 @@ class _Text:
         while stack:
             i, j, active = stack.pop()
             if j - i > 1:
-                # Far above the room the sum of the units will do.  Rooms descend: what fits is at the front.
-                n = self.sums[j] - self.sums[i]
-                if n <= 2 * room[active[0]]:
-                    n = self.tokens(i, j)
-                done = 0
+                # Rooms descend: what fits is at the front.
+                n, done = self.tokens(i, j), 0
                 while done < len(active) and n <= room[active[done]]:
                     ends[active[done]].append(j)
                     done += 1
@@ -188,7 +208,7 @@ class _Text:
                 first = start
                 if lap and start:
                     first = bisect_left(self.sums, self.sums[start] - lap, 0, start)
-                    while first < start and self.tokens(first, end) > most:
+                    while first < start and (self.tokens(first, end) > most or self.tokens(first, start) > lap):
                         first += 1
                     # Begin with a word where there is one.
                     first = next((k for k in range(first, start) if self.strength[k]), first)

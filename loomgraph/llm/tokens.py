@@ -63,17 +63,16 @@ class Sizer:
         self.split_latin = re.compile(ends + rf"| ?[{ranges}]+| ?[0-9]+| ?[^\s{ranges}0-9]+" + other).findall
         self.split_any = regex.compile(PATTERN).findall
 
-    def words(self, text: str) -> list[str] | None:
-        """The text in the pieces within which merging happens; None where Python's white space differs."""
+    def words(self, text: str) -> list[str]:
+        """The text in the pieces within which merging happens."""
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return None
+            return self.split_any(text)  # white space to ``re``, but not to the tokenizer
         if text.isascii():
             return self.split_ascii(text)
         return self.split_latin(text) if self.plain.issuperset(set(text)) else self.split_any(text)
 
     def count(self, text: str) -> int:
-        words = self.words(text)
-        return len(self.encoding.encode_ordinary(text)) if words is None else sum(map(self.memo.__getitem__, words))
+        return sum(map(self.memo.__getitem__, self.words(text)))
 
 
 def read_vocabulary(path: str = VOCABULARY) -> bytes:

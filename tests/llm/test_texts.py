@@ -176,3 +176,50 @@ def test_mixing_of_nothing(spark):
     assert mixed(spark, [("a", 1)], [])[0] == []
     with pytest.raises(ValueError):
         mixed(spark, [("a", 1)], [("m", "a", 0.5, 1), ("m", "a", 0.5, 1)])
+
+
+def test_counts_of_any_part_are_the_tokenizers_own():
+    import random
+
+    from loomgraph.llm.splitting import Units, read_texts
+    from loomgraph.llm.tokens import read_vocabulary, sizer
+
+    size = sizer(read_vocabulary())
+    units, rnd = Units(size), random.Random(7)
+    parts = ["word", " the", "'s", "'", "''", "--'", "\n", " ", "\t", "\x1c", "漢字仮名交じり文" * 3, "1234567890" * 4, "-" * 41, "a" * 53, " " * 60, "\n" * 45, "s", "ll", "?!", "é", "😀" * 9, ".", "xkjqzwv" * 6]
+    for _ in range(400):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12)))
+        count = lambda t: len(size.encoding.encode_ordinary(t))
+        assert size.count(text) == count(text)
+        x = read_texts([text], units)[0]
+        n = len(x.starts) - 1
+        for _ in range(10):
+            i = rnd.randint(0, n)
+            j = rnd.randint(i, n)
+            assert x.tokens(i, j) == count(text[x.starts[i] : x.starts[j]])
+        most = rnd.randint(6, 60)
+        for first, own, end, k in x.pieces([(most, most // 3)])[0]:
+            assert k == count(text[x.starts[first] : x.starts[end]]) and (k <= most or end - own == 1)
+
+
+@pytest.mark.parametrize("rule", ["-" * 20_000, "\x1c" * 3_000, "\n" * 20_000, "ab" * 4_000])
+def test_no_cut_that_no_limit_asks_for(rule):
+    """Every cut of the recursion divides a part above the room: the two halves of the last cut never fit together."""
+    from loomgraph.llm.splitting import Units, read_texts
+    from loomgraph.llm.tokens import read_vocabulary, sizer
+
+    x = read_texts(["Some words here. " * 30 + rule + " More words follow." * 100], Units(sizer(read_vocabulary())))[0]
+    n = len(x.starts) - 1
+    for room in (128, 512, 1024):
+        ends = [end for *_, end, _ in x.pieces([(room, 0)])[0]]
+        pieces = set(zip([0, *ends], ends))
+
+        def check(i, j):
+            if x.tokens(i, j) <= room or j - i == 1:
+                assert (i, j) in pieces
+            else:
+                k = x.cut(i, j)
+                check(i, k)
+                check(k, j)
+
+        check(0, n)
