@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is taken and
-    remembered in the session, so that one session uses one folder.
+    Only a local session (tests) may name none: it takes a temporary folder and remembers it, so that one session
+    uses one folder.  On a cluster such a folder would be another one on every machine, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.loomgraph.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.loomgraph.dir", found)
     return found.rstrip("/")
@@ -32,9 +35,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
 
-    def cut(self, df: DataFrame, table: str) -> DataFrame:
+    def cut(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
+        """``df`` written and read again; ``by``: a column of few values, of which readers of one read only its files."""
         path = f"{self.base}/{table}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: str) -> None:
@@ -46,9 +50,3 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where the files alone would leave cores idle; large tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
