@@ -34,10 +34,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
+        self.tables: set[str] = set()
 
     def cut(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
         """``df`` written and read again; ``by``: a column of few values, of which readers of one read only its files."""
         path = f"{self.base}/{table}"
+        self.tables.add(table)
         (df.write.partitionBy(by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -46,6 +48,11 @@ class Scratch:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{table}")
             path.getFileSystem(conf).delete(path, True)
+            self.tables.discard(table)
+
+    def keep(self, *tables: str) -> None:
+        """Drop all but these."""
+        self.drop(*(self.tables - set(tables)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
