@@ -37,7 +37,9 @@ def _trees(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
         reached = reached.unionByName(moved.where("end").select("c", F.col("to").alias("root")))
         k += 1
         active = scratch.cut(moved.where("not end").select("c", F.col("to").alias("p")), f"{tag}-active-{k}")
-    return scratch.cut(reached, f"{tag}-roots")
+    out = scratch.cut(reached, f"{tag}-roots")
+    scratch.drop(f"{tag}-hook", f"{tag}-0", *(f"{tag}-{what}-{i}" for what in ("active", "moved") for i in range(k)), f"{tag}-active-{k}")
+    return out
 
 
 def connected_groups(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -63,6 +65,7 @@ def connected_groups(links: DataFrame, left: str, right: str) -> DataFrame:
         x = x.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         k += 1
         edges = scratch.cut(x, f"edges-{k}")
+        scratch.drop(f"edges-{k - 1}")
     if not maps:
         return edges.select(F.col("a").alias("group_id"), F.col("b").alias("id"))
     # Later rounds rename the roots of earlier ones: compose from the last, smallest map backwards.
