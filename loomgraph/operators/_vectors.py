@@ -1,14 +1,17 @@
-"""Blockwise exact vector search."""
+"""Blockwise exact search: vectors, words."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the corpus in a block.
 CORPUS_BLOCK = 20_000
+#: Words, of those that queries hold, in a block of texts, and words in a block of queries.
+CORPUS_WORDS, QUERY_WORDS = 1_000_000, 500_000
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,3 +55,57 @@ def block_search(corpus: DataFrame, queries: DataFrame, k: int, block: int) -> D
     found = c.unionByName(q).groupBy("cb", "qb").applyInArrow(meet, "query_id long, doc_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def block_scores(texts: DataFrame, queries: DataFrame, k: int, text_words: int, query_words: int, k1: float, b: float, mean: float) -> DataFrame:
+    """(query_id, doc_id, score): the k best texts of each query in each block of texts, score > 0.
+
+    ``texts``: doc_id, len, tids (a word per occurrence); ``queries``: query_id, terms (tid, qf, idf).
+    """
+    here, there = max(1, -(-text_words // CORPUS_WORDS)), max(1, -(-query_words // QUERY_WORDS))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    doc, query = texts.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    term = "array<struct<tid:bigint,qf:bigint,idf:double>>"
+    t = texts.select(deal("doc_id", here).alias("cb"), "doc_id", none(query).alias("query_id"), F.col("len").cast("long").alias("len"), "tids", none(term).alias("terms")).select("*", each(there).alias("qb"))
+    q = queries.select(deal("query_id", there).alias("qb"), none(doc).alias("doc_id"), "query_id", none("bigint").alias("len"), none("array<bigint>").alias("tids"), F.col("terms").cast(term).alias("terms")).select("*", each(here).alias("cb"))
+    schema = f"query_id {query}, doc_id {doc}, score double"
+
+    def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+        lists = column.combine_chunks()
+        return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten()
+
+    def meet(both: pa.Table) -> pa.Table:
+        asks, docs = both.filter(pc.is_valid(both.column("terms"))), both.filter(pc.is_valid(both.column("tids")))
+        docs = docs.sort_by("doc_id")  # places of texts are in the order of their ids, which decides between equal scores
+        row, tids = flat(docs.column("tids"))
+        pair, tf = np.unique(np.stack([tids.to_numpy(zero_copy_only=False), row]), axis=1, return_counts=True) if len(row) else (np.zeros((2, 0), np.int64), np.zeros(0))
+        word, place = pair
+        share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * docs.column("len").to_numpy()[place] / mean))
+        whose, terms = flat(asks.column("terms"))
+        tid, qf, idf = (terms.field(c).to_numpy(zero_copy_only=False) for c in ("tid", "qf", "idf"))
+        lo, hi = np.searchsorted(word, tid), np.searchsorted(word, tid, "right")
+        ends = np.searchsorted(whose, np.arange(len(asks) + 1))
+        queries_, places, scores = [], [], []
+        for i in range(len(asks)):
+            own = range(ends[i], ends[i + 1])
+            at = np.concatenate([place[lo[j] : hi[j]] for j in own]) if len(own) else np.zeros(0, np.int64)
+            if not len(at):
+                continue
+            part = np.concatenate([share[lo[j] : hi[j]] * (idf[j] * qf[j]) for j in own])
+            if len(at) * 8 < len(docs):
+                found, at = np.unique(at, return_inverse=True)
+                score = np.bincount(at, part)
+            else:
+                found, score = np.arange(len(docs)), np.bincount(at, part, len(docs))
+            score = np.round(score, 6)
+            keep = np.flatnonzero(score > 0 if len(score) <= k else score >= max(np.partition(score, -k)[-k], 1e-7))
+            keep = keep[np.argsort(-score[keep], kind="stable")[:k]]
+            queries_.append(np.full(len(keep), i))
+            places.append(found[keep])
+            scores.append(score[keep])
+        take = lambda t_, c, x: t_.column(c).combine_chunks().take(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
+        return pa.table({"query_id": take(asks, "query_id", queries_), "doc_id": take(docs, "doc_id", places), "score": pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())})
+
+    return t.unionByName(q).groupBy("cb", "qb").applyInArrow(meet, schema)

@@ -15,15 +15,20 @@ def top_k(df: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """Okapi BM25: (query_id, doc_id, score, rank) with score > 0.
+def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, zeros: bool = False) -> DataFrame:
+    """Okapi BM25: (query_id, doc_id, score, rank), the ``k`` best with score > 0.
 
     ``corpus``: doc_id, tokens; ``queries``: query_id, tokens; a token repeated in a query counts as
     often.  idf = ln((N - df + 0.5) / (df + 0.5)), negative ones replaced by epsilon times the mean idf.
+    ``zeros``: queries with fewer hits are filled up with texts of score 0, the smallest ids first.
 
-    Document frequencies are counted before the shuffle and stored, one row per word.  Postings are
-    kept only for words that queries hold, before they are counted; Spark splits words with long lists.
+    Document frequencies are counted before the shuffle and stored, one row per word.  Texts keep only the words that
+    queries hold and are dealt to blocks, as queries are; where two blocks meet, one task adds up the scores and keeps the k
+    best per query.  So no row stands for a text and a query that share a common word, and a common word has no
+    partition of its own.  Blocks are bounded by their words (``CORPUS_WORDS``, ``QUERY_WORDS``).
     """
+    from ._vectors import block_scores
+
     scratch = Scratch(corpus.sparkSession, "bm25")
     docs = corpus.select("doc_id", "tokens", F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("len"))
     # One pass: words, and beside them a null word per text that counts texts and their lengths.
@@ -34,13 +39,26 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean_idf = df.agg(F.avg(idf)).first()[0] or 0.0
     asked = scratch.cut(exploded(queries, ["query_id"], F.col("tokens"), "term").groupBy("query_id", "term").agg(F.count("*").alias("qf")), "asked")
-    weights = df.join(asked.select("term").distinct(), "term", "left_semi").select("term", F.when(idf < 0, epsilon * mean_idf).otherwise(idf).alias("idf"))
-    weights = scratch.cut(weights, "weights")
-    postings = exploded(docs, ["doc_id", "len"], F.col("tokens"), "term").join(weights, "term").groupBy("doc_id", "len", "term", "idf").agg(F.count("*").alias("tf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean or 1))))
-    scored = postings.select("doc_id", "term", part.alias("part")).join(asked, "term")
-    scores = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qf")), 6).alias("score")).where("score > 0")
-    return top_k(scores, "query_id", "score", "doc_id", k)
+    weights = df.join(asked.select("term").distinct(), "term", "left_semi").select("term", "df", F.when(idf < 0, epsilon * mean_idf).otherwise(idf).alias("idf"))
+    weights = scratch.cut(weights.withColumn("tid", F.monotonically_increasing_id()), "weights")
+    held, put = weights.agg(F.sum("df")).first()[0] or 0, asked.count()
+    said = exploded(docs, ["doc_id", "len"], F.col("tokens"), "term").join(weights.select("term", "tid"), "term").groupBy("doc_id", "len").agg(F.collect_list("tid").alias("tids"))
+    asks = asked.join(weights, "term").groupBy("query_id").agg(F.collect_list(F.struct("tid", "qf", "idf")).alias("terms"))
+    best = top_k(block_scores(said, asks, k, held, put, k1, b, mean or 1.0), "query_id", "score", "doc_id", k)
+    return _filled(docs, queries, best, k) if zeros else best
+
+
+def _filled(docs: DataFrame, queries: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """``best`` with texts of score 0, the smallest ids first, where a query has fewer than ``k``.
+
+    Of the k smallest ids that a query has not listed, none lies beyond the 2 k smallest of all.
+    """
+    best = Scratch(docs.sparkSession, "filled").cut(best, "best")
+    smallest = [r[0] for r in docs.where(F.col("tokens").isNotNull()).select("doc_id").orderBy("doc_id").limit(2 * k).collect()]
+    have = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    more = have.select("query_id", "n", F.explode(F.array(*map(F.lit, smallest)) if smallest else F.array().cast(f"array<{docs.schema['doc_id'].dataType.simpleString()}>")).alias("doc_id")).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    more = more.withColumn("rank", (F.col("n") + F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).cast("int")).where(F.col("rank") <= k)
+    return best.unionByName(more.select("query_id", "doc_id", F.lit(0.0).alias("score"), "rank"))
 
 
 def entity_search_text(name: str = "name", roles: str = "roles") -> Column:

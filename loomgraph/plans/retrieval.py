@@ -51,14 +51,17 @@ def bm25_entities(spark, sf_dir):
 
 
 def bm25_search_texts(spark, sf_dir):
-    corpus = _named(spark, sf_dir).select("doc_id", word_tokens(r.entity_search_text()).alias("tokens"))
-    return r.bm25(corpus, _asked(spark, sf_dir).select("query_id", word_tokens("text").alias("tokens")), K)
+    """Search texts by BM25; queries without a hit by the weighted search of the fields."""
+    named, asked = _named(spark, sf_dir), _asked(spark, sf_dir).select("query_id", word_tokens("text").alias("tokens"))
+    found = Scratch(spark, "found").cut(r.bm25(named.select("doc_id", word_tokens(r.entity_search_text()).alias("tokens")), asked, K), "bm25")
+    rest = asked.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return found.unionByName(r.weighted_search(named, rest, K))
 
 
 def bm25_documents(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     corpus = docs.select("doc_id", word_tokens(F.concat_ws(" ", "title", "text")).alias("tokens"))
-    return r.bm25(corpus, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), word_tokens("title").alias("tokens")), K)
+    return r.bm25(corpus, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), word_tokens("title").alias("tokens")), K, zeros=True)
 
 
 def token_search(spark, sf_dir):
@@ -102,8 +105,8 @@ def evidence(best: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def compiled_results(spark, sf_dir):
-    """Every twentieth question with the answer a run has for it: questions without one get ``NA`` and no tokens; rows without text are errors and go."""
-    q = table(spark, sf_dir, "questions").where("question_row % 20 = 0")
+    """Questions with the answer a run has for them: questions without one get ``NA`` and no tokens; rows without text are errors and go."""
+    q = table(spark, sf_dir, "questions")
     got = table(spark, sf_dir, "questions").where("answers is not null and size(answers) > 0 and answers[0] like 'TEXT:%'").select(F.col("question_row").alias("row"), F.substr(F.get("answers", F.lit(0)), F.lit(6)).alias("answer"))
     out = q.where("text is not null").join(got, q["question_row"] == got["row"], "left")
     return out.select("question_row", F.coalesce("answer", F.lit("NA")).alias("answer"), F.when(F.col("answer").isNull(), 0).otherwise(c.token_estimate(F.col("answer"))).alias("tokens"))
@@ -188,8 +191,13 @@ bm{n} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_
 
 
 _BM_ENTITIES = _bm25(f"SELECT doc_id, {_words('name')} AS tokens FROM named", f"SELECT query_id, {_words('text')} AS tokens FROM asked")
-_BM_DOCS = "WITH z AS (SELECT 1)" + _bm25("SELECT doc_id, " + _tokens("concat_ws(' ', title, text)") + " AS tokens FROM documents", "SELECT doc_id AS query_id, " + _tokens("title") + " AS tokens FROM documents WHERE doc_id % 20 = 0")
+#: All documents are listed, those without a common word with score 0.
+_BM_DOCS = "WITH z AS (SELECT 1)" + _bm25("SELECT doc_id, " + _tokens("concat_ws(' ', title, text)") + " AS tokens FROM documents", "SELECT doc_id AS query_id, " + _tokens("title") + " AS tokens FROM documents WHERE doc_id % 20 = 0", name="0") + """,
+bm AS (SELECT query_id, doc_id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id FROM q0, c0 WHERE c0.tokens IS NOT NULL) LEFT JOIN x0 USING (query_id, doc_id) QUALIFY rank <= 10)"""
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank"
+_WEIGHTED = f"""wf AS (SELECT doc_id, 1.0 AS w, lower({_SEARCH_TEXT}) AS t FROM named UNION ALL SELECT doc_id, 2.0, lower(name) FROM named UNION ALL SELECT doc_id, 1.5, lower(r.role) FROM (SELECT doc_id, unnest(roles) AS r FROM named) UNION ALL SELECT doc_id, 1.0, lower(s) FROM (SELECT doc_id, unnest(r.states) AS s FROM (SELECT doc_id, unnest(roles) AS r FROM named))),
+wt AS (SELECT query_id, unnest(list_distinct({_tokens('text')})) AS token FROM asked),
+wx AS (SELECT query_id, doc_id, round(sum(w), 6)::DOUBLE AS score FROM wt JOIN wf ON contains(wf.t, token) GROUP BY ALL)"""
 _KNN = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), kn AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS score, a.label AS la, b.label AS lb FROM e a, e b WHERE a.vec_id % 20 = 0), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kn WHERE score > 0 QUALIFY rank <= 10)"
 _RES = ", res AS (SELECT q_id, vp_id, min(text) AS question, coalesce(string_agg(coalesce(e.name, answer), ', ' ORDER BY a_pos), '') AS answer_names FROM ans LEFT JOIN ent e ON e.id = ans.answer GROUP BY q_id, vp_id)"
 ORACLES = {
@@ -199,17 +207,15 @@ w AS (SELECT doc_id, s, unnest(range(0, len(s), 2)) AS st FROM s WHERE len(s) >
 SELECT doc_id, (st // 2)::BIGINT AS chunk_idx, st::BIGINT AS start_sentence, least(st + 3, len(s))::BIGINT AS end_sentence, array_to_string(s[st + 1:st + 3], '. ') || '.' AS chunk_text FROM w""",
     "chunks_whole": "SELECT doc_id, 0::BIGINT AS chunk_idx, length(t)::BIGINT AS chars, greatest(1, floor(length(t) / 4))::BIGINT AS tokens FROM (SELECT doc_id, CASE WHEN title IS NOT NULL THEN title || chr(10) || text ELSE text END AS t FROM documents)",
     "bm25_entities": _NAMED + _BM_ENTITIES + " SELECT * FROM bm",
-    "bm25_search_texts": _NAMED + _bm25(f"SELECT doc_id, {_tokens(_SEARCH_TEXT)} AS tokens FROM named", f"SELECT query_id, {_tokens('text')} AS tokens FROM asked") + " SELECT * FROM bm",
+    "bm25_search_texts": _NAMED + _bm25(f"SELECT doc_id, {_tokens(_SEARCH_TEXT)} AS tokens FROM named", f"SELECT query_id, {_tokens('text')} AS tokens FROM asked") + f", {_WEIGHTED} SELECT * FROM bm UNION ALL SELECT query_id, doc_id, score, {_TOP} FROM wx WHERE query_id NOT IN (SELECT query_id FROM bm) QUALIFY rank <= 10",
     "bm25_documents": _BM_DOCS + " SELECT * FROM bm",
     "token_search": _NAMED + f", t AS (SELECT query_id, unnest({_words('text')}) AS token FROM asked), x AS (SELECT query_id, doc_id, count(*) AS score FROM t JOIN named ON contains(lower(name), token) GROUP BY ALL) SELECT query_id, doc_id, score, {_TOP} FROM x QUALIFY rank <= 10",
-    "weighted_search": _NAMED + f""", f AS (SELECT doc_id, 1.0 AS w, lower({_SEARCH_TEXT}) AS t FROM named UNION ALL SELECT doc_id, 2.0, lower(name) FROM named UNION ALL SELECT doc_id, 1.5, lower(r.role) FROM (SELECT doc_id, unnest(roles) AS r FROM named) UNION ALL SELECT doc_id, 1.0, lower(s) FROM (SELECT doc_id, unnest(r.states) AS s FROM (SELECT doc_id, unnest(roles) AS r FROM named))),
-t AS (SELECT query_id, unnest(list_distinct({_tokens('text')})) AS token FROM asked),
-x AS (SELECT query_id, doc_id, round(sum(w), 6)::DOUBLE AS score FROM t JOIN f ON contains(f.t, token) GROUP BY ALL) SELECT query_id, doc_id, score, {_TOP} FROM x QUALIFY rank <= 10""",
+    "weighted_search": _NAMED + f", {_WEIGHTED} SELECT query_id, doc_id, score, {_TOP} FROM wx QUALIFY rank <= 10",
     "summary_context": _NAMED + ", sm AS (SELECT id AS doc_id, name, summary FROM entity_nodes WHERE summary IS NOT NULL AND name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrived_at) = 1)" + _bm25(f"SELECT doc_id, {_words('name')} AS tokens FROM sm", f"SELECT query_id, {_words('text')} AS tokens FROM asked", 30) + """,
 k AS (SELECT query_id, name, summary, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM bm JOIN sm USING (doc_id) WHERE trim(summary) <> '' QUALIFY rk <= 17)
 SELECT query_id, count(*) AS used, string_agg('Entity: ' || coalesce(name, '') || chr(10) || 'Summary: ' || summary, chr(10) || chr(10) ORDER BY rk) AS context FROM k GROUP BY query_id""",
-    "baseline_evidence": _BM_DOCS + " SELECT query_id, md5(string_agg('Q: What is ' || coalesce(title, '') || '? A: ' || coalesce(left(text, 300), ''), chr(10) ORDER BY rank)) AS evidence_md5, count(*)::BIGINT AS documents FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id",
-    "compiled_results": "SELECT question_row, CASE WHEN answers[1] LIKE 'TEXT:%' THEN substr(answers[1], 6) ELSE 'NA' END AS answer, CASE WHEN answers[1] LIKE 'TEXT:%' THEN greatest(1, length(substr(answers[1], 6)) // 4)::BIGINT ELSE 0 END AS tokens FROM questions WHERE question_row % 20 = 0 AND text IS NOT NULL",
+    "baseline_evidence": _BM_DOCS + " SELECT query_id, md5(string_agg('Q: What is ' || coalesce(title, '') || '? A: ' || coalesce(text, ''), chr(10) ORDER BY rank)) AS evidence_md5, count(*)::BIGINT AS documents FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id",
+    "compiled_results": "SELECT question_row, CASE WHEN answers[1] LIKE 'TEXT:%' THEN substr(answers[1], 6) ELSE 'NA' END AS answer, CASE WHEN answers[1] LIKE 'TEXT:%' THEN greatest(1, length(substr(answers[1], 6)) // 4)::BIGINT ELSE 0 END AS tokens FROM questions WHERE text IS NOT NULL",
     "approximate_matches": _NAMED + f""", a AS (SELECT query_id, regexp_replace(lower(text), '^"|"$', '', 'g') AS mn FROM asked WHERE trim(text) <> ''), n AS (SELECT doc_id, regexp_replace(lower(name), '^"|"$', '', 'g') AS nm FROM named WHERE trim(name) <> '')
 SELECT query_id AS mention_id, doc_id FROM (SELECT *, {_words('mn')} AS mw FROM a), (SELECT *, {_words('nm')} AS nw FROM n) WHERE len(list_intersect(mw, nw)) > 0 OR (len(mw) > 0 AND contains(nm, mn)) OR (len(nw) > 0 AND contains(mn, nm))""",
     "query_entities": _NAMED + f""", q AS (SELECT question_row AS query_id, list_distinct({_words("regexp_replace(text, '[?!.,\"''’]', ' ', 'g')")}) AS qs FROM questions WHERE question_row % 20 = 0), n AS (SELECT doc_id, list_distinct({_words('name')}) AS ws FROM named) SELECT query_id, doc_id FROM q JOIN n ON len(ws) > 0 AND list_has_all(qs, ws)""",
