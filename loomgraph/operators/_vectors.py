@@ -24,14 +24,15 @@ def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray
     return m / np.where(norm == 0, 1, norm), rows
 
 
-def block_search(corpus: DataFrame, queries: DataFrame, k: int, block: int) -> DataFrame:
-    """Blocks of the corpus meet blocks of queries; each meeting is one matrix product."""
+def block_search(corpus: DataFrame, queries: DataFrame, k: int, block: int, apart: str | None = None) -> DataFrame:
+    """Blocks of the corpus meet blocks of queries; each meeting is one matrix product.  Rows of equal ``apart`` are no neighbours."""
     rows, asked = corpus.count(), queries.count()
+    group = F.xxhash64(apart).alias("grp") if apart else F.lit(0).cast("long").alias("grp")
     here, there = max(1, -(-rows // CORPUS_BLOCK)), max(1, -(-asked // block))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("long")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = corpus.select(F.lit(0).alias("side"), F.col("doc_id").alias("id"), "vec").withColumn("cb", deal(here)).select("*", each(there).alias("qb"))
-    q = queries.select(F.lit(1).alias("side"), F.col("query_id").alias("id"), "vec").withColumn("qb", deal(there)).select("*", each(here).alias("cb"))
+    c = corpus.select(F.lit(0).alias("side"), F.col("doc_id").alias("id"), "vec", group).withColumn("cb", deal(here)).select("*", each(there).alias("qb"))
+    q = queries.select(F.lit(1).alias("side"), F.col("query_id").alias("id"), "vec", group).withColumn("qb", deal(there)).select("*", each(here).alias("cb"))
 
     def meet(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
@@ -40,10 +41,13 @@ def block_search(corpus: DataFrame, queries: DataFrame, k: int, block: int) -> D
         width = max(set(lengths), key=lengths.count) if lengths else 0
         a, ra = _matrix(mine.column("vec"), width)
         b, rb = _matrix(theirs.column("vec"), width)
+        qgroup, dgroup = mine.column("grp").to_numpy()[ra], theirs.column("grp").to_numpy()[rb]
         qid, did = mine.column("id").to_numpy()[ra], theirs.column("id").to_numpy()[rb]
         out = []
         for lo in range(0, len(qid), 500):
             s = np.round(a[lo : lo + 500] @ b.T, 6)
+            if apart:
+                s[qgroup[lo : lo + 500][:, None] == dgroup] = -2
             # Equal scores at the edge stay in as long as their ids may decide.
             order = np.lexsort((np.broadcast_to(did, s.shape), -s), axis=1)[:, :k]
             best = np.take_along_axis(s, order, 1)

@@ -39,6 +39,16 @@ def place(id_col: str, chunk: Column) -> list[Column]:
     ]
 
 
+def delivered(id_col: Column | str) -> Column:
+    """Order of delivery, as identifiers tell it: document, chunk and number within the chunk as numbers, for ``10`` comes after ``2``."""
+    node = F.col(id_col) if isinstance(id_col, str) else id_col
+    chunk = F.substring_index(node, "::", 1)
+    return F.struct(
+        F.substring_index(chunk, "_", 1).try_cast("bigint").alias("doc"), F.substring_index(chunk, "_", -1).try_cast("bigint").alias("chunk"),
+        F.regexp_extract(node, r"(\d+)$", 1).try_cast("bigint").alias("number"), node.alias("id"),
+    )
+
+
 def load(spark: SparkSession, sf_dir: str) -> Memory:
     own_chunk = F.coalesce("chunk_id", F.substring_index("id", "::", 1))
     entities = first_rows(table(spark, sf_dir, "entity_nodes").select("id", "name", "roles", "chunk_id", "arrived_at"), "id", "arrived_at")
@@ -190,7 +200,7 @@ def resolved_answers(memory: Memory) -> DataFrame:
 def chunk_key(chunk: Column) -> Column:
     """Order of a chunk in a timeline: the numbers after the first underscore; [-1] without any."""
     cleaned = F.regexp_replace(chunk, "^chunk_chunk_", "chunk_")
-    parts = F.filter(F.transform(F.slice(F.split(cleaned, "_"), 2, 1000), lambda p: p.try_cast("int")), lambda p: p.isNotNull())
+    parts = F.filter(F.transform(F.slice(F.split(cleaned, "_"), 2, F.greatest(F.size(F.split(cleaned, "_")) - 1, F.lit(0))), lambda p: p.try_cast("int")), lambda p: p.isNotNull())
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(-1)))
 
 
@@ -229,7 +239,7 @@ def graph_edges(memory: Memory) -> DataFrame:
     without an answer get a node of their own."""
     q = memory.questions.select("id", "vp_id", F.when(F.coalesce(F.size(F.filter("answers", lambda a: ~is_none(a))), F.lit(0)) <= 0, F.array(F.concat(F.lit("unresolved_"), "vp_id", F.lit("_"), "id"))).otherwise(F.filter("answers", lambda a: ~is_none(a))).alias("answers"))
     rows = q.select(F.col("vp_id").alias("source"), F.explode("answers").alias("target"), F.col("id").alias("q_id"))
-    return rows.groupBy("source", "target").agg(F.max("q_id").alias("q_id"))
+    return rows.groupBy("source", "target").agg(F.max_by("q_id", delivered("q_id")).alias("q_id"))
 
 
 def node_evolution(memory: Memory) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
+from .memory import delivered
 
 
 def canonical_entities(entities: DataFrame, per_document: bool = False, empty_keys: bool = False) -> DataFrame:
@@ -98,7 +99,7 @@ def reconcile_verb_phrases(verb_phrases: DataFrame, questions: DataFrame) -> Dat
     Phrases match only if equal, so each document's phrases of one wording fold on their own, chunk by
     chunk.  Groups are streamed from sorted partitions; one is bounded by a document.  Rows with q_id null say which phrase was merged into which.
     """
-    asked = questions.groupBy("vp_id").agg(F.array_sort(F.collect_list(F.struct("id", "text", F.coalesce("answers", F.array().cast("array<string>")).alias("answers")))).alias("qs"))
+    asked = questions.groupBy("vp_id").agg(F.array_sort(F.collect_list(F.struct(delivered("id").alias("place"), "id", "text", F.coalesce("answers", F.array().cast("array<string>")).alias("answers")))).alias("qs"))
     rows = verb_phrases.where("phrase is not null").join(asked.withColumnRenamed("vp_id", "id"), "id", "left").select("doc_id", "phrase", "chunk_idx", "pos", "id", "qs")
 
     names = ["doc_id", "vp_id", "kept_id", "q_id", "text", "answers"]

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: References below which a key never gets salts.
-LEAST_HOT = 50_000
+from ..session import Scratch
+
 MISSES = "target string, ref_key string, ref_id long, ref_at long, reason string"
 
 
@@ -32,11 +32,17 @@ def _as_keys(parts: list) -> np.ndarray:
 
     Long keys, and keys with the zero character, which fixed-width arrays would cut, stay objects.
     """
-    keys = [k.encode() for p in parts for k in p.to_pylist()]
-    if max(map(len, keys), default=0) <= 128 and not any(b"\0" in k for k in keys):
-        return np.array(keys, dtype=bytes)
+    keys = pa.concat_arrays([p.cast(pa.large_binary()) for p in parts]) if parts else pa.array([], pa.large_binary())
+    ends = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1] if len(keys) else np.zeros(1, np.int64)
+    data = np.frombuffer(keys.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    size = np.diff(ends)
+    width = int(size.max(initial=1)) or 1
+    if width <= 128 and data.all():
+        cells = np.zeros((len(keys), width), np.uint8)
+        cells[np.arange(width) < size[:, None]] = data
+        return cells.view(f"S{width}").reshape(-1)
     out = np.empty(len(keys), dtype=object)
-    out[:] = keys
+    out[:] = keys.to_pylist()
     return out
 
 
@@ -106,11 +112,13 @@ def orphan_references(refs: DataFrame, parents: DataFrame, hot_share: float = 0.
     refs = refs.where(F.col("key").isNotNull()).select("target", "key", "ref_id", "ref_at")
     parents = parents.select("target", "key", "arrived", "deleted")
     spark = refs.sparkSession
+    scratch = Scratch(spark, "references")
+    refs = scratch.cut(refs, "refs")
     # Few rows by construction: each stands for hot_share of all references.
-    counts = refs.groupBy("target", "key").count()
-    total = refs.count()
-    least = max(LEAST_HOT, int(total * hot_share))
+    counts = scratch.cut(refs.groupBy("target", "key").count(), "counts")
+    least = max(1.0, (counts.agg(F.sum("count")).first()[0] or 0) * hot_share)
     hot = [(r["target"], r["key"], int(r["count"] // least) + 1) for r in counts.where(F.col("count") > least).collect()]
+    scratch.drop("counts")
     salts = spark.createDataFrame(hot, "target string, key string, salts int")
     parents = parents.join(F.broadcast(salts), ["target", "key"], "left").select(
         "target", "key", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))).alias("salt"),

@@ -183,13 +183,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, block: int = 2_000) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int, block: int = 2_000, apart: str | None = None) -> DataFrame:
     """Exact cosine neighbours: (query_id, doc_id, score, rank), score > 0; ``corpus``: doc_id, vec; ``queries``: query_id, vec.
 
     Blocks of at most ``block`` queries meet blocks of the corpus, each meeting one matrix product in one
     task that keeps the k best per query; neither side is held whole anywhere.  A stated set of queries is
-    compared with all rows.  Null vectors, and those of another length than most queries of a block, match nothing.
+    compared with all rows; with ``apart``, a column of both, but for those of an equal value.  Null vectors, and those of another length than most queries of a block, match nothing.
     """
     from ._vectors import block_search
 
-    return block_search(corpus, queries, k, block)
+    return block_search(corpus, queries, k, block, apart)

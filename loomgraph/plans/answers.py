@@ -10,13 +10,13 @@ from ..operators import evaluate as e
 from ..operators import memory as m
 from ..operators.chunking import token_estimate
 from ..session import table
-from .graph import MEMORY_SQL
+from .graph import DELIVERED, MEMORY_SQL, delivered_sql
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions of a verb phrase as steps: two of three refer to the step before."""
     q = m.load(spark, sf_dir).questions
-    idx = F.row_number().over(Window.partitionBy("vp_id").orderBy("id")) - 1
+    idx = F.row_number().over(Window.partitionBy("vp_id").orderBy(m.delivered("id"))) - 1
     q = q.select(F.col("vp_id").alias("question_id"), idx.cast("int").alias("q_idx"), F.coalesce("text", F.lit("")).alias("text"))
     template = F.when(F.col("q_idx") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" <ENTITY_Q"), "q_idx", F.lit(">")))
     return q.select("question_id", "q_idx", template.alias("template"), (F.col("q_idx") % 7 != 6).alias("requires_retrieval"))
@@ -33,7 +33,7 @@ def reasoning_chains(spark, sf_dir):
 def concrete_questions(spark, sf_dir):
     """Steps with the placeholder replaced by the name of the first answer of the step before; each concrete question once."""
     mem = m.load(spark, sf_dir)
-    idx = F.row_number().over(Window.partitionBy("vp_id").orderBy("id"))
+    idx = F.row_number().over(Window.partitionBy("vp_id").orderBy(m.delivered("id")))
     first = mem.questions.select(F.col("vp_id").alias("question_id"), idx.cast("int").alias("q_idx"), F.get("answers", F.lit(0)).alias("answer"))
     first = first.join(mem.entities.select(F.col("id").alias("answer"), "name"), "answer").select("question_id", "q_idx", F.create_map("q_idx", "name").alias("bindings"))
     steps = _steps(spark, sf_dir).join(first, ["question_id", "q_idx"]).select(c.substitute(F.col("template"), F.col("bindings")).alias("question"))
@@ -87,7 +87,7 @@ def chain_evidence(spark, sf_dir):
 def evidence_texts(spark, sf_dir):
     """``Q: … A: …`` of every question, each text once, in the order of the first question."""
     rows = m.resolved_answers(m.load(spark, sf_dir)).select(c.evidence_text(F.coalesce("question", F.lit("")), F.col("answer_names")).alias("evidence"), "q_id")
-    return rows.groupBy("evidence").agg(F.min("q_id").alias("first_q_id"))
+    return rows.groupBy("evidence").agg(F.min_by("q_id", m.delivered("q_id")).alias("first_q_id"))
 
 
 def chain_statistics(spark, sf_dir):
@@ -185,7 +185,7 @@ QUERIES = {f.__name__: f for f in (
     answers_extracted, em_f1, em_f1_by_group, comparison, judge_metrics, judge_summary, chapter_metrics, results_with_truth, token_usage, missing_documents, missing_chunks, reid_documents,
 )}
 
-_STEPS = MEMORY_SQL + """, st AS (SELECT vp_id AS question_id, (row_number() OVER (PARTITION BY vp_id ORDER BY id) - 1)::BIGINT AS q_idx, coalesce(text, '') AS text FROM qs),
+_STEPS = MEMORY_SQL + f""", st AS (SELECT vp_id AS question_id, (row_number() OVER (PARTITION BY vp_id ORDER BY {DELIVERED}) - 1)::BIGINT AS q_idx, coalesce(text, '') AS text FROM qs),
 steps AS (SELECT question_id, q_idx, CASE WHEN q_idx % 3 = 0 THEN text ELSE text || ' <ENTITY_Q' || q_idx || '>' END AS template, q_idx % 7 <> 6 AS need FROM st),
 run AS (SELECT s.question_id, s.q_idx, CASE WHEN d.q_idx IS NOT NULL AND d.need THEN 1 ELSE 0 END AS link, s.need FROM steps s LEFT JOIN steps d ON d.question_id = s.question_id AND d.q_idx = s.q_idx AND s.q_idx % 3 <> 0),
 grp AS (SELECT *, sum(1 - link) OVER (PARTITION BY question_id ORDER BY q_idx) AS g FROM run),
@@ -202,7 +202,7 @@ j AS (SELECT q_id, t, f, CASE WHEN t = 0 AND f = 0 THEN 1.0 WHEN t = 0 THEN 0.0
 jm AS (SELECT q_id, round(p, 6)::DOUBLE AS "precision", round(r, 6)::DOUBLE AS recall, round(CASE WHEN t = 0 AND f = 0 THEN 1.0 WHEN t = 0 OR f = 0 THEN 0.0 ELSE coalesce(2 * p * r / nullif(p + r, 0), 0) END, 6)::DOUBLE AS f1 FROM j)"""
 ORACLES = {
     "step_dependencies": _STEPS + " SELECT question_id, q_idx, q_idx - 1 AS needs FROM steps WHERE q_idx % 3 <> 0",
-    "concrete_questions": _STEPS + ", f AS (SELECT vp_id AS question_id, row_number() OVER (PARTITION BY vp_id ORDER BY id) AS q_idx, answers[1] AS a FROM qs) SELECT replace(template, '<ENTITY_Q' || q_idx || '>', coalesce(name, '')) AS question, count(*) AS uses FROM steps JOIN f USING (question_id, q_idx) JOIN ent ON ent.id = a GROUP BY 1",
+    "concrete_questions": _STEPS + ", f AS (SELECT vp_id AS question_id, row_number() OVER (PARTITION BY vp_id ORDER BY " + DELIVERED + ") AS q_idx, answers[1] AS a FROM qs) SELECT replace(template, '<ENTITY_Q' || q_idx || '>', coalesce(name, '')) AS question, count(*) AS uses FROM steps JOIN f USING (question_id, q_idx) JOIN ent ON ent.id = a GROUP BY 1",
     "beam_scores": _PAIRS + " SELECT left_id, round(exp(avg(ln(" + _CONF.format("coalesce(score, -1.0)") + "))), 6) AS chain_score, count(*) AS evidence FROM st GROUP BY left_id",
     "beam_best_per_entity": _BEST + " SELECT * FROM best",
     "beam_prune": _BEST + " SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY chain_score DESC, last_hop DESC, pair_id) AS rank FROM best QUALIFY rank <= 5",
@@ -210,7 +210,7 @@ ORACLES = {
 x AS (SELECT a.question_id, a.state_id AS a_state, b.state_id AS b_state, round(CASE WHEN a.chain_score > 1e-6 AND b.chain_score > 1e-6 THEN 2 / (1 / a.chain_score + 1 / b.chain_score) WHEN a.chain_score > 1e-6 THEN a.chain_score WHEN b.chain_score > 1e-6 THEN b.chain_score ELSE 1e-6 END, 6) AS chain_score FROM k a JOIN k b ON a.question_id = b.question_id AND a.parent = 0 AND b.parent = 1)
 SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY chain_score DESC, a_state, b_state) AS rank FROM x QUALIFY rank <= 5 AND (chain_score >= 0.3 OR rank = 1)""",
     "chain_score_modes": _PAIRS + ", z AS (SELECT pair_id, " + _CONF.format("chain_score") + " AS a, " + _CONF.format("last_hop") + " AS b, chain_score AS x, last_hop AS y FROM st) SELECT pair_id, round(a, 6) AS m_cumulative, round(b, 6) AS m_similarity, round(0.5 * a + 0.5 * b, 6) AS m_combined, 1.0::DOUBLE AS m_none, round(CASE WHEN x > 1e-6 AND y > 1e-6 THEN 2 / (1 / x + 1 / y) WHEN x > 1e-6 THEN x WHEN y > 1e-6 THEN y ELSE 1e-6 END, 6) AS harmonic FROM z",
-    "evidence_texts": MEMORY_SQL + ", res AS (SELECT q_id, min(text) AS question, coalesce(string_agg(coalesce(e.name, answer), ', ' ORDER BY a_pos), '') AS answer_names FROM ans LEFT JOIN ent e ON e.id = ans.answer GROUP BY q_id, vp_id) SELECT 'Q: ' || coalesce(question, '') || ' A: ' || answer_names AS evidence, min(q_id) AS first_q_id FROM res GROUP BY 1",
+    "evidence_texts": MEMORY_SQL + ", res AS (SELECT q_id, min(text) AS question, coalesce(string_agg(coalesce(e.name, answer), ', ' ORDER BY a_pos), '') AS answer_names FROM ans LEFT JOIN ent e ON e.id = ans.answer GROUP BY q_id, vp_id) SELECT 'Q: ' || coalesce(question, '') || ' A: ' || answer_names AS evidence, arg_min(q_id, " + delivered_sql("q_id") + ") AS first_q_id FROM res GROUP BY 1",
     "answers_extracted": r"""
 WITH r AS (SELECT question_row, min('Thought: Answer: none yet. Answer: ' || regexp_replace(a, '^TEXT:', '') || CASE WHEN question_row % 2 = 0 THEN '.' ELSE ' ' END) AS reply FROM (SELECT question_row, unnest(answers) AS a FROM questions) GROUP BY 1),
 s AS (SELECT question_row, regexp_replace(string_split(reply, 'Answer: ')[-1], '^[\pZ\x09-\x0d\x{85}]+|[\pZ\x09-\x0d\x{85}]+$', '', 'g') AS t FROM r)

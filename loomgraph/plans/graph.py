@@ -24,6 +24,15 @@ vp AS (
 qs AS (SELECT id, vp_id, text, answers, chunk_id FROM questions QUALIFY row_number() OVER (PARTITION BY id ORDER BY question_row) = 1),
 ans AS (SELECT id AS q_id, vp_id, text, unnest(answers) AS answer, generate_subscripts(answers, 1) - 1 AS a_pos FROM qs)
 """
+
+
+def delivered_sql(node: str) -> str:
+    """Order of delivery of an identifier, as a struct of numbers."""
+    chunk = f"split_part({node}, '::', 1)"
+    return f"{{'d': TRY_CAST(split_part({chunk}, '_', 1) AS BIGINT), 'c': TRY_CAST(split_part({chunk}, '_', -1) AS BIGINT), 'n': TRY_CAST(regexp_extract({node}, '([0-9]+)$', 1) AS BIGINT), 'i': {node}}}"
+
+
+DELIVERED = delivered_sql("id")
 _FIRST = ", key AS (SELECT *, lower(regexp_replace(name, '[^a-zA-Z0-9\\s]', '', 'g')) AS k FROM ent), can AS (SELECT id, CASE WHEN k IS NULL OR k = '' OR fc = chunk_id THEN id ELSE fi END AS canonical_id FROM (SELECT *, first_value(chunk_id) OVER w AS fc, first_value(id) OVER w AS fi FROM key WINDOW w AS (PARTITION BY {scope}k ORDER BY doc_id, chunk_idx, pos, chunk_id, id)))".replace("\\\\", "\\")
 _EDGES = ", edges AS (SELECT DISTINCT least(left_id, right_id) AS src, greatest(left_id, right_id) AS dst FROM entity_matches WHERE verdict AND left_id <> right_id AND left_id IN (SELECT id FROM ent) AND right_id IN (SELECT id FROM ent))"
 GLOBAL_SQL = MEMORY_SQL + _FIRST.format(scope="")
@@ -94,7 +103,7 @@ def entity_texts(mem: m.Memory) -> DataFrame:
 def qa_texts(mem: m.Memory) -> DataFrame:
     """QA texts, each once: the first question's data stay."""
     rows = m.resolved_answers(mem).select(F.concat_ws(" ", "question", F.when(F.col("answer_names") != "", F.col("answer_names"))).alias("qa_text"), "q_id", "vp_id")
-    return rows.groupBy("qa_text").agg(F.min(F.struct("q_id", "vp_id")).alias("x"), F.count("*").alias("copies")).select("qa_text", "x.q_id", "x.vp_id", "copies")
+    return rows.groupBy("qa_text").agg(F.min_by(F.struct("q_id", "vp_id"), F.struct(m.delivered("q_id"), "vp_id")).alias("x"), F.count("*").alias("copies")).select("qa_text", "x.q_id", "x.vp_id", "copies")
 
 
 def corpus_top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +151,7 @@ _LIVE = "answer <> 'None' AND NOT starts_with(answer, 'TEXT:')"
 _RESOLVED = ", res AS (SELECT q_id, vp_id, min(text) AS question, coalesce(string_agg(coalesce(e.name, answer), ', ' ORDER BY a_pos), '') AS answer_names FROM ans LEFT JOIN ent e ON e.id = ans.answer GROUP BY q_id, vp_id)"
 _GEDGES = f""", rows AS (
   SELECT id, vp_id, CASE WHEN coalesce(len(list_filter(answers, lambda a: a <> 'None')), 0) = 0 THEN ['unresolved_' || vp_id || '_' || id] ELSE list_filter(answers, lambda a: a <> 'None') END AS a FROM qs),
-gedges AS (SELECT source, target, max(q_id) AS q_id FROM (SELECT vp_id AS source, unnest(a) AS target, id AS q_id FROM rows) GROUP BY source, target)"""
+gedges AS (SELECT source, target, arg_max(q_id, {delivered_sql("q_id")}) AS q_id FROM (SELECT vp_id AS source, unnest(a) AS target, id AS q_id FROM rows) GROUP BY source, target)"""
 _DEGREE = _EDGES + f", ends AS (SELECT answer AS id FROM ans WHERE {_LIVE} UNION ALL SELECT src FROM edges UNION ALL SELECT dst FROM edges), deg AS (SELECT ent.id, name, count(ends.id) AS degree FROM ent LEFT JOIN ends ON ends.id = ent.id GROUP BY ent.id, name)"
 ORACLES = {
     "corpus_top_entities": GLOBAL_SQL + _DEGREE + " SELECT canonical_id, sum(degree)::BIGINT AS degree, count(*) AS members FROM deg JOIN can USING (id) GROUP BY canonical_id",
@@ -155,17 +164,14 @@ ORACLES = {
     "answer_kinds": MEMORY_SQL + " SELECT vp_id, count(*) FILTER (k = 'entity') AS entity, count(*) FILTER (k = 'text') AS text, count(*) FILTER (k = 'none') AS \"none\", count(*) FILTER (k = 'dangling') AS dangling FROM (SELECT vp_id, CASE WHEN answer = 'None' THEN 'none' WHEN starts_with(answer, 'TEXT:') THEN 'text' WHEN e.id IS NOT NULL THEN 'entity' ELSE 'dangling' END AS k FROM ans LEFT JOIN ent e ON e.id = answer) GROUP BY vp_id",
     "open_questions": GLOBAL_SQL + ", hit AS (SELECT DISTINCT vp_id FROM ans WHERE answer IN (SELECT canonical_id FROM can WHERE id <> canonical_id)) SELECT qs.vp_id, qs.id AS q_id, phrase, text AS question FROM qs JOIN vp ON vp.id = qs.vp_id WHERE answers = ['None'] AND qs.vp_id IN (SELECT vp_id FROM hit)",
     "entity_texts": MEMORY_SQL + " SELECT id, concat_ws(' ', 'Entity: ' || coalesce(name, ''), coalesce(array_to_string(list_transform(roles, lambda r: 'Role: ' || coalesce(r.role, '') || ' States: ' || coalesce(array_to_string(r.states, ', '), '')), ' '), '')) AS entity_text FROM ent",
-    "qa_texts": MEMORY_SQL + _RESOLVED + ", t AS (SELECT concat_ws(' ', question, nullif(answer_names, '')) AS qa_text, q_id, vp_id FROM res) SELECT qa_text, arg_min(q_id, q_id || ' ' || vp_id) AS q_id, arg_min(vp_id, q_id || ' ' || vp_id) AS vp_id, count(*) AS copies FROM t GROUP BY qa_text",
+    "qa_texts": MEMORY_SQL + _RESOLVED + ", t AS (SELECT concat_ws(' ', question, nullif(answer_names, '')) AS qa_text, q_id, vp_id FROM res) SELECT qa_text, arg_min(q_id, {'o': " + delivered_sql("q_id") + ", 'v': vp_id}) AS q_id, arg_min(vp_id, {'o': " + delivered_sql("q_id") + ", 'v': vp_id}) AS vp_id, count(*) AS copies FROM t GROUP BY qa_text",
     "most_connected": MEMORY_SQL + _DEGREE + " SELECT id, name, degree FROM deg",
     "similarity_edges": MEMORY_SQL + _EDGES + " SELECT src, dst FROM edges",
     "merged_edges": GLOBAL_SQL + _EDGES + " SELECT DISTINCT least(a.canonical_id, b.canonical_id) AS src, greatest(a.canonical_id, b.canonical_id) AS dst FROM edges JOIN can a ON a.id = src JOIN can b ON b.id = dst WHERE a.canonical_id <> b.canonical_id",
     "context_nodes_merged": MEMORY_SQL + r""", named AS (SELECT *, lower(regexp_replace(name, '[^a-zA-Z0-9\s]', '', 'g')) AS k FROM ent WHERE name IS NOT NULL),
-ends AS (SELECT * FROM (SELECT DISTINCT doc_id, k, first_value(id) OVER w AS a, last_value(id) OVER w AS b FROM named WHERE k <> '' WINDOW w AS (PARTITION BY doc_id, k ORDER BY chunk_idx, pos, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE a <> b)
-SELECT t.id AS node_id, CASE WHEN s.chunk_id > t.chunk_id THEN s.chunk_id ELSE t.chunk_id END AS chunk_id, CASE WHEN s.chunk_id > t.chunk_id THEN s.name ELSE t.name END AS current_name,
-  CASE WHEN s.id IS NULL OR s.chunk_id = t.chunk_id THEN 'Chunk' || t.chunk_id || ':' || t.name
-       WHEN s.chunk_id < t.chunk_id THEN 'Chunk' || s.chunk_id || ':' || s.name || ', Chunk' || t.chunk_id || ':' || t.name
-       ELSE 'Chunk' || t.chunk_id || ':' || t.name || ', Chunk' || s.chunk_id || ':' || s.name END AS history
-FROM named t LEFT JOIN ends ON ends.a = t.id LEFT JOIN named s ON s.id = ends.b WHERE t.k <> '' AND t.id NOT IN (SELECT b FROM ends)""",
+placed AS (SELECT *, first_value(id) OVER w AS head, row_number() OVER w AS place FROM named WHERE k <> '' WINDOW w AS (PARTITION BY doc_id, k ORDER BY chunk_idx, pos, id)),
+per_chunk AS (SELECT head, chunk_id, arg_min(name, place) AS name FROM placed GROUP BY head, chunk_id)
+SELECT head AS node_id, max(chunk_id) AS chunk_id, arg_max(name, chunk_id) AS current_name, string_agg('Chunk' || chunk_id || ':' || name, ', ' ORDER BY chunk_id) AS history FROM per_chunk GROUP BY head""",
     "connected_entities": MEMORY_SQL + f", l AS (SELECT DISTINCT vp_id, answer AS id FROM ans WHERE {_LIVE}) SELECT DISTINCT a.id, b.id AS neighbour FROM l a JOIN l b USING (vp_id) WHERE a.id <> b.id",
     "entity_context": MEMORY_SQL + f", mine AS (SELECT DISTINCT q_id, text AS question, answer AS entity_id FROM ans WHERE {_LIVE} AND answer IN (SELECT id FROM ent)), oth AS (SELECT DISTINCT q_id, answer AS co_answer, coalesce(e.name, answer) AS co_name FROM ans LEFT JOIN ent e ON e.id = answer WHERE answer <> 'None') SELECT entity_id, mine.q_id, question, co_answer, co_name FROM mine LEFT JOIN oth ON oth.q_id = mine.q_id AND co_answer <> entity_id",
     "entity_qa_pairs": MEMORY_SQL + _RESOLVED + ", span AS (SELECT DISTINCT vp_id, answer AS entity_id FROM ans WHERE answer IN (SELECT id FROM ent)) SELECT entity_id, q_id, question, answer_names FROM span JOIN res USING (vp_id)",

@@ -123,10 +123,8 @@ def knn_cosine(spark, sf_dir):
 
 def knn_other_chunk(spark, sf_dir):
     """Neighbours for matching: those of the same label are of the same chunk and don't count."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    found = knn_cosine(spark, sf_dir).drop("rank")
-    found = found.join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), "query_id").join(e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("b")), "doc_id")
-    return r.top_k(found.where("a <> b").select("query_id", "doc_id", "score"), "query_id", "score", "doc_id", 5)
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
+    return r.knn(v, v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), 5, apart="label")
 
 
 def rerank_cosine(spark, sf_dir):
@@ -221,7 +219,7 @@ SELECT query_id AS mention_id, doc_id FROM (SELECT *, {_words('mn')} AS mw FROM
     "query_entities": _NAMED + f""", q AS (SELECT question_row AS query_id, list_distinct({_words("regexp_replace(text, '[?!.,\"''’]', ' ', 'g')")}) AS qs FROM questions WHERE question_row % 20 = 0), n AS (SELECT doc_id, list_distinct({_words('name')}) AS ws FROM named) SELECT query_id, doc_id FROM q JOIN n ON len(ws) > 0 AND list_has_all(qs, ws)""",
     "search_texts": _NAMED + f" SELECT doc_id AS id, {_SEARCH_TEXT} AS search_text FROM named",
     "knn_cosine": _KNN + " SELECT query_id, doc_id, score, rank FROM top",
-    "knn_other_chunk": _KNN + ", o AS (SELECT query_id, doc_id, score FROM top WHERE la <> lb) SELECT *, " + _TOP + " FROM o QUALIFY rank <= 5",
+    "knn_other_chunk": _KNN + ", o AS (SELECT query_id, doc_id, score FROM kn WHERE la <> lb AND score > 0) SELECT *, " + _TOP + " FROM o QUALIFY rank <= 5",
     "rerank_cosine": _BM_DOCS + f", e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), o AS (SELECT query_id, doc_id, round(coalesce(list_cosine_similarity(a.v, b.v), 0.0), 6) AS score FROM bm LEFT JOIN e a ON a.vec_id = query_id LEFT JOIN e b ON b.vec_id = doc_id) SELECT *, {_TOP} FROM o QUALIFY rank <= 5",
     "dual_retrieval": _NAMED + _RES + _BM_ENTITIES + _bm25("SELECT q_id AS doc_id, " + _tokens("question") + " AS tokens FROM res", "SELECT query_id, " + _tokens("text") + " AS tokens FROM asked", 15, "2") + """,
 span AS (SELECT DISTINCT vp_id, answer AS entity_id FROM ans WHERE answer IN (SELECT id FROM ent)),

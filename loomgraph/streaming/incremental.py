@@ -38,7 +38,9 @@ def first_of_name(spark: SparkSession, entities: DataFrame) -> DataFrame:
     The state is one row per name.  A chunk that arrives late may come before the first so far: the
     name's row is then updated, which is what the last update per name shows.
     """
-    place = F.struct(F.coalesce("chunk_id", F.substring_index("id", "::", 1)).alias("chunk"), "id")
+    chunk = F.coalesce("chunk_id", F.substring_index("id", "::", 1))
+    # By number: chunk 10 comes after chunk 2.
+    place = F.struct(F.substring_index(chunk, "_", 1).try_cast("bigint").alias("doc"), F.substring_index(chunk, "_", -1).try_cast("bigint").alias("chunk"), F.regexp_extract("id", r"(\d+)$", 1).try_cast("bigint").alias("number"), "id")
     stream = entities.where(F.col("name").isNotNull() & (name_key("name") != "")).groupBy(name_key("name").alias("name_key")).agg(F.min(place).alias("first"), F.count("*").alias("seen"))
     out = _drain(spark, stream, "names", "update")
     return out.groupBy("name_key").agg(F.max_by(F.struct("first", "seen"), "_batch").alias("x")).select("name_key", F.col("x.first.id").alias("first_id"), "x.seen")
