@@ -7,10 +7,10 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of the hash that a level of the histogram resolves, and the bits used in all.
-BITS, ALL_BITS = 10, 60
-#: Most rows of a table of targets, which is broadcast.
-MOST_TARGETS = 100_000
+#: Bits of the hash that are used in all, and those that a level of the histogram may resolve.
+ALL_BITS, LEVELS = 60, (10, 6, 5, 4, 3)
+#: Most rows of a table of targets, which is broadcast, and most sums that a level returns for all of them.
+MOST_TARGETS, MOST_SUMS = 100_000, 1_000_000
 
 
 def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -28,22 +28,23 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
     at most.  All mixes use one hash: a smaller budget takes a subset of a larger one.  Documents
     without tokens or without source are never selected; rows of equal doc_id go together.
     Repeated (mix_name, source) targets and shares or repeats below zero are refused; null shares
-    and repeats count as zero.
+    count as zero, null repeats as one.
 
     The threshold: tokens summed per source and hash bucket, then only the bucket in which the
-    budget ends is divided again, until one document is left in it.  Each step returns at most
-    1024 sums per target; the selection is a filter.
+    budget ends is divided again, until one document is left in it.  A step returns at most
+    ``MOST_SUMS`` sums: the more targets, the fewer buckets each; the selection is a filter.
     """
     spark = sizes.sparkSession
-    goals = [(r[0], r[1], float(r[2] or 0), int(r[3] or 0)) for r in targets.select("mix_name", "source", "target_share", "max_repeats").limit(MOST_TARGETS + 1).collect()]
+    goals = [(r[0], r[1], float(r[2] or 0), 1 if r[3] is None else int(r[3])) for r in targets.select("mix_name", "source", "target_share", "max_repeats").limit(MOST_TARGETS + 1).collect()]
     if len(goals) > MOST_TARGETS or len({g[:2] for g in goals}) < len(goals) or any(g[2] < 0 or g[3] < 0 for g in goals):
         raise ValueError("targets: too many, repeated or negative")
+    bits = next(b for b in LEVELS if len(goals) << b <= MOST_SUMS)
     key = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - ALL_BITS)
     docs = sizes.where(F.col("n_tokens") > 0).select("doc_id", "source", "n_tokens", key.alias("key"))
     wanted = spark.createDataFrame([(s,) for s in sorted({g[1] for g in goals if g[1] is not None})], "source string")
     docs = docs.join(F.broadcast(wanted), "source", "left_semi")
 
-    first = docs.groupBy("source", F.shiftright("key", ALL_BITS - BITS).alias("bucket")).agg(F.sum("n_tokens"), F.count("*")).collect()
+    first = docs.groupBy("source", F.shiftright("key", ALL_BITS - bits).alias("bucket")).agg(F.sum("n_tokens"), F.count("*")).collect()
     level: dict[str, dict[int, tuple[int, int]]] = defaultdict(dict)
     for source, bucket, tokens, n in first:
         level[source][bucket] = (tokens, n)
@@ -62,7 +63,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
         plan[mix, source] = [full, 0]
         if rest:
             open_[mix, source] = (0, rest, level[source])  # prefix of the key so far, budget left, sums below it
-    depth = BITS
+    depth = bits
     while open_:
         ahead = {}
         for (mix, source), (prefix, rest, sums) in open_.items():
@@ -73,7 +74,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
                 rest -= tokens
             else:
                 bucket, tokens, n = max(sums) + 1, 0, 0
-            at = (prefix << BITS | bucket) if depth > BITS else bucket
+            at = (prefix << bits | bucket) if depth > bits else bucket
             if n > 1 and depth < ALL_BITS and rest > 0:
                 ahead[mix, source] = (at, rest)
             else:
@@ -83,13 +84,13 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
             edge = spark.createDataFrame([(m, s, p) for (m, s), (p, _) in ahead.items()], "mix_name string, source string, prefix long")
             below = (
                 docs.withColumn("prefix", F.shiftright("key", ALL_BITS - depth)).join(F.broadcast(edge), ["source", "prefix"])
-                .groupBy("mix_name", "source", (F.shiftright("key", ALL_BITS - depth - BITS) % (1 << BITS)).alias("bucket")).agg(F.sum("n_tokens"), F.count("*"))
+                .groupBy("mix_name", "source", (F.shiftright("key", ALL_BITS - depth - bits) % (1 << bits)).alias("bucket")).agg(F.sum("n_tokens"), F.count("*"))
             )
             finer: dict[tuple, dict] = defaultdict(dict)
             for mix, source, bucket, tokens, n in below.collect():
                 finer[mix, source][bucket] = (tokens, n)
             open_ = {k: (p, rest, finer[k]) for k, (p, rest) in ahead.items()}
-            depth += BITS
+            depth += bits
 
     rows = [(m, s, share, reps, *plan[m, s]) for m, s, share, reps in goals]
     chosen = spark.createDataFrame(rows, "mix_name string, source string, target_share double, max_repeats int, full_passes long, threshold long")
