@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import chains as c
 from ..operators import evaluate as e
 from ..operators import memory as m
+from ..functions.text import word_tokens
+from ..operators import retrieval as r
 from ..operators.chunking import token_estimate
-from ..session import table
-from .graph import DELIVERED, MEMORY_SQL, delivered_sql
+from ..session import Scratch, table
+from .graph import DELIVERED, MEMORY_SQL, bm25_sql, delivered_sql
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +86,39 @@ def chain_evidence(spark, sf_dir):
     return c.multi_hop(start, _facts(mem), 2)
 
 
+def _two_steps(spark, sf_dir) -> DataFrame:
+    """Every twentieth question as a question of two steps: itself, and what its verb phrase says of the name found; every third of these has one step only."""
+    q = table(spark, sf_dir, "questions").where("question_row % 20 = 0 and text is not null")
+    q = q.join(m.load(spark, sf_dir).verb_phrases.where("phrase is not null").select(F.col("id").alias("vp_id"), "phrase"), "vp_id")
+    texts = F.when(F.col("question_row") % 3 == 0, F.array("text")).otherwise(F.array("text", F.concat("phrase", F.lit(" <ENTITY_Q1>"))))
+    return q.select(F.col("question_row").alias("question_id"), F.posexplode(texts).alias("q_idx", "template"), F.lit(True).alias("requires_retrieval"))
+
+
+def _qa_search(spark, sf_dir):
+    """Questions and answers of the memory by BM25 of their texts, the best 15."""
+    mem = m.load(spark, sf_dir)
+    rows = mem.answers.join(mem.entities.select(F.col("id").alias("answer"), "name"), "answer", "left").select("q_id", "text", F.struct("a_pos", F.coalesce("name", "answer").alias("n")).alias("x"))
+    qa = rows.groupBy("q_id").agg(F.min("text").alias("question"), F.transform(F.array_sort(F.collect_list("x")), lambda s: s["n"]).alias("names"))
+    qa = Scratch(spark, "qa").cut(qa.withColumn("tokens", word_tokens(F.concat_ws(" ", "question", F.array_join("names", " ")))), "qa")
+
+    def search(asked: DataFrame) -> DataFrame:
+        found = r.bm25(qa.select(F.col("q_id").alias("doc_id"), "tokens"), asked.select("query_id", word_tokens("text").alias("tokens")), 15)
+        return found.join(qa.drop("tokens"), found["doc_id"] == qa["q_id"]).select("query_id", "q_id", "question", "names", F.round(F.col("score") / (1 + F.col("score")), 6).alias("score"))
+
+    return search
+
+
+def multi_hop_search(spark, sf_dir):
+    """Final states of the search along reasoning chains."""
+    beams, _ = c.chain_search(_two_steps(spark, sf_dir), _qa_search(spark, sf_dir))
+    return beams.where("last").select("question_id", "rank", F.element_at("bindings", 1).alias("first"), F.element_at("bindings", 2).alias("answer"), "chain_score", "last_hop", F.md5(F.array_join("evidence", "\n")).alias("evidence_md5"))
+
+
+def multi_hop_evidence(spark, sf_dir):
+    """The evidence a reader gets, in order: along the chains, or what one search finds for questions without a chain."""
+    return c.chain_search(_two_steps(spark, sf_dir), _qa_search(spark, sf_dir))[1].groupBy("question_id").agg(F.count("*").alias("texts"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")).alias("evidence_md5"))
+
+
 def evidence_texts(spark, sf_dir):
     """``Q: … A: …`` of every question, each text once, in the order of the first question."""
     rows = m.resolved_answers(m.load(spark, sf_dir)).select(c.evidence_text(F.coalesce("question", F.lit("")), F.col("answer_names")).alias("evidence"), "q_id")
@@ -181,7 +216,7 @@ def reid_documents(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    step_dependencies, reasoning_chains, concrete_questions, beam_scores, beam_best_per_entity, beam_prune, beam_parents, chain_score_modes, chain_evidence, evidence_texts, chain_statistics,
+    step_dependencies, reasoning_chains, concrete_questions, beam_scores, beam_best_per_entity, beam_prune, beam_parents, chain_score_modes, chain_evidence, multi_hop_search, multi_hop_evidence, evidence_texts, chain_statistics,
     answers_extracted, em_f1, em_f1_by_group, comparison, judge_metrics, judge_summary, chapter_metrics, results_with_truth, token_usage, missing_documents, missing_chunks, reid_documents,
 )}
 
@@ -200,8 +235,33 @@ sc AS (SELECT pair_id, verdict, CASE WHEN p = g THEN 1.0 ELSE 0.0 END::DOUBLE AS
 _JUDGE = MEMORY_SQL + """, n AS (SELECT q_id, count(e.id) AS t, count(*) FILTER (answer <> 'None') AS f FROM ans LEFT JOIN ent e ON e.id = answer GROUP BY q_id),
 j AS (SELECT q_id, t, f, CASE WHEN t = 0 AND f = 0 THEN 1.0 WHEN t = 0 THEN 0.0 WHEN f = 0 THEN NULL ELSE t / f END AS p, CASE WHEN t = 0 AND f = 0 THEN 1.0 WHEN t = 0 OR f = 0 THEN 0.0 ELSE 1.0 END AS r FROM n),
 jm AS (SELECT q_id, round(p, 6)::DOUBLE AS "precision", round(r, 6)::DOUBLE AS recall, round(CASE WHEN t = 0 AND f = 0 THEN 1.0 WHEN t = 0 OR f = 0 THEN 0.0 ELSE coalesce(2 * p * r / nullif(p + r, 0), 0) END, 6)::DOUBLE AS f1 FROM j)"""
+_TOKENS = r"regexp_extract_all(lower({}), '[\pL\pM\p{{Nd}}\p{{Nl}}\p{{Pc}}]+')"
+_CUM = "round(exp(list_avg(list_transform({}, lambda x: ln(least(greatest(0.5 * (x + 1), 1e-6), 1.0))))), 6)"
+_HOPS = (
+    MEMORY_SQL
+    + ", qa AS (SELECT q_id, min(text) AS question, list(coalesce(e.name, answer) ORDER BY a_pos) AS names FROM ans LEFT JOIN ent e ON e.id = answer GROUP BY q_id), qat AS (SELECT q_id AS doc_id, "
+    + _TOKENS.format("concat_ws(' ', question, array_to_string(names, ' '))")
+    + " AS tokens FROM qa), st AS (SELECT question_row AS question_id, text, phrase, question_row % 3 = 0 AS single FROM questions JOIN vp ON vp.id = vp_id WHERE question_row % 20 = 0 AND text IS NOT NULL AND phrase IS NOT NULL)"
+    + bm25_sql("SELECT * FROM qat", "SELECT DISTINCT text AS query_id, " + _TOKENS.format("text") + " AS tokens FROM st", 15, "1")
+    + """, f1 AS (SELECT query_id, q_id, question, names, round(score / (1 + score), 6) AS score FROM bm1 JOIN qa ON q_id = doc_id),
+mv1 AS (SELECT DISTINCT question_id, phrase, n, q_id || '=' || n AS path, score, 'Q: ' || coalesce(question, '') || ' A: ' || array_to_string(names, ', ') AS ev FROM (SELECT *, unnest(names) AS n FROM st JOIN f1 ON query_id = text WHERE NOT single)),
+b1 AS (SELECT *, """ + _CUM.format("[score]") + """ AS cs FROM mv1 QUALIFY row_number() OVER (PARTITION BY question_id, n ORDER BY cs DESC, score DESC, path) = 1),
+k1 AS (SELECT *, phrase || ' ' || n AS asked FROM b1 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY cs DESC, score DESC, path) <= 5)"""
+    + bm25_sql("SELECT * FROM qat", "SELECT DISTINCT asked AS query_id, " + _TOKENS.format("asked") + " AS tokens FROM k1", 15, "2")
+    + """, f2 AS (SELECT query_id, q_id, question, names, round(score / (1 + score), 6) AS score FROM bm2 JOIN qa ON q_id = doc_id),
+mv2 AS (SELECT question_id, n AS first, array_to_string(names, ', ') AS answer, f2.score AS last_hop, """ + _CUM.format("[k1.score, f2.score]") + """ AS chain_score, path || '|' || q_id || '=' || array_to_string(names, ', ') AS tie, ev AS e1, 'Q: ' || coalesce(question, '') || ' A: ' || array_to_string(names, ', ') AS e2 FROM k1 JOIN f2 ON query_id = asked),
+last AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY chain_score DESC, last_hop DESC, tie) AS rank FROM mv2 QUALIFY rank <= 5)"""
+)
 ORACLES = {
+    "multi_hop_search": _HOPS + " SELECT question_id, rank, first, answer, chain_score, last_hop, md5(e1 || chr(10) || e2) AS evidence_md5 FROM last",
+    "multi_hop_evidence": _HOPS + """, said AS (SELECT question_id, rank::DOUBLE AS a, '0' AS b, e1 AS t FROM last UNION ALL SELECT question_id, rank, '1', e2 FROM last
+  UNION ALL SELECT question_id, -score, q_id, 'Q: ' || coalesce(question, '') || ' A: ' || array_to_string(names, ', ') FROM st JOIN f1 ON query_id = text WHERE single),
+once AS (SELECT question_id, t, min({'a': a, 'b': b}) AS o FROM said GROUP BY question_id, t)
+SELECT question_id, count(*) AS texts, md5(string_agg(t, chr(10) ORDER BY o, t)) AS evidence_md5 FROM once GROUP BY question_id""",
     "step_dependencies": _STEPS + " SELECT question_id, q_idx, q_idx - 1 AS needs FROM steps WHERE q_idx % 3 <> 0",
+    "reasoning_chains": _STEPS + " SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY head) - 1 AS chain_no, chain FROM ch",
+    "chain_statistics": _STEPS + """, k AS (SELECT question_id, count(*) AS chains, max(n) AS longest FROM ch GROUP BY question_id), z AS (SELECT question_id, count(*) AS steps FROM steps GROUP BY question_id)
+SELECT steps, count(*) AS questions, count(*) FILTER (chains IS NULL) AS fallbacks, coalesce(sum(chains), 0)::BIGINT AS chains, coalesce(max(longest), 0)::BIGINT AS longest FROM z LEFT JOIN k USING (question_id) GROUP BY steps""",
     "concrete_questions": _STEPS + ", f AS (SELECT vp_id AS question_id, row_number() OVER (PARTITION BY vp_id ORDER BY " + DELIVERED + ") AS q_idx, answers[1] AS a FROM qs) SELECT replace(template, '<ENTITY_Q' || q_idx || '>', coalesce(name, '')) AS question, count(*) AS uses FROM steps JOIN f USING (question_id, q_idx) JOIN ent ON ent.id = a GROUP BY 1",
     "beam_scores": _PAIRS + " SELECT left_id, round(exp(avg(ln(" + _CONF.format("coalesce(score, -1.0)") + "))), 6) AS chain_score, count(*) AS evidence FROM st GROUP BY left_id",
     "beam_best_per_entity": _BEST + " SELECT * FROM best",

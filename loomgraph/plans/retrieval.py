@@ -11,7 +11,8 @@ from ..operators import chunking as c
 from ..operators import memory as m
 from ..operators import retrieval as r
 from ..session import Scratch, table
-from .graph import MEMORY_SQL
+from ..sources.sinks import uncached
+from .graph import MEMORY_SQL, bm25_sql
 
 K = 10
 
@@ -151,8 +152,7 @@ def dual_retrieval(spark, sf_dir):
 def cache_misses(spark, sf_dir):
     """Texts that no cache holds yet: stored by content, compared by content."""
     alt = table(spark, sf_dir, "entity_nodes_alt").select(F.md5(F.coalesce("name", F.lit(""))).alias("key"))
-    mine = _named(spark, sf_dir).select(F.md5("name").alias("key"), "name")
-    return mine.join(alt, "key", "left_anti").groupBy("key").agg(F.min("name").alias("name"), F.count("*").alias("uses"))
+    return uncached(_named(spark, sf_dir), "name", alt).select("key", F.col("text").alias("name"))
 
 
 QUERIES = {f.__name__: f for f in (chunk_sentences, chunks_whole, parse_output, bm25_entities, bm25_search_texts, bm25_documents, token_search, weighted_search, approximate_matches, query_entities, summary_context, baseline_evidence, compiled_results, search_texts, knn_cosine, knn_other_chunk, rerank_cosine, dual_retrieval, cache_misses)}
@@ -176,21 +176,9 @@ _NAMED = MEMORY_SQL + ", named AS (SELECT id AS doc_id, name, roles FROM ent WHE
 _SEARCH_TEXT = "CASE WHEN coalesce(len(roles), 0) > 0 THEN coalesce(name, '') || ' - Roles: ' || array_to_string(list_transform(roles, lambda r: coalesce(r.role, '') || CASE WHEN len(coalesce(r.states, [])) > 0 THEN ': ' || array_to_string(r.states, ', ') ELSE '' END), ' | ') ELSE coalesce(name, '') || ' - No specific roles' END"
 
 
-def _bm25(corpus: str, queries: str, k: int = K, name: str = "") -> str:
-    """BM25 over ``corpus`` (doc_id, tokens) and ``queries`` (query_id, tokens), as common table expressions."""
-    n = name
-    return f""", c{n} AS ({corpus}), q{n} AS ({queries}), s{n} AS (SELECT count(*)::DOUBLE AS n, avg(len(tokens)) AS mean FROM c{n} WHERE tokens IS NOT NULL),
-p{n} AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS l, unnest(tokens) AS term FROM c{n}) GROUP BY ALL),
-d{n} AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p{n}, s{n} GROUP BY term, n),
-m{n} AS (SELECT avg(idf) AS mean_idf FROM d{n}),
-a{n} AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(tokens) AS term FROM q{n}) GROUP BY ALL),
-x{n} AS (SELECT query_id, doc_id, round(sum(CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean)) * qf), 6) AS score FROM p{n} JOIN a{n} USING (term) JOIN d{n} USING (term), m{n}, s{n} GROUP BY query_id, doc_id),
-bm{n} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x{n} WHERE score > 0 QUALIFY rank <= {k})"""
-
-
-_BM_ENTITIES = _bm25(f"SELECT doc_id, {_words('name')} AS tokens FROM named", f"SELECT query_id, {_words('text')} AS tokens FROM asked")
+_BM_ENTITIES = bm25_sql(f"SELECT doc_id, {_words('name')} AS tokens FROM named", f"SELECT query_id, {_words('text')} AS tokens FROM asked")
 #: All documents are listed, those without a common word with score 0.
-_BM_DOCS = "WITH z AS (SELECT 1)" + _bm25("SELECT doc_id, " + _tokens("concat_ws(' ', title, text)") + " AS tokens FROM documents", "SELECT doc_id AS query_id, " + _tokens("title") + " AS tokens FROM documents WHERE doc_id % 20 = 0", name="0") + """,
+_BM_DOCS = "WITH z AS (SELECT 1)" + bm25_sql("SELECT doc_id, " + _tokens("concat_ws(' ', title, text)") + " AS tokens FROM documents", "SELECT doc_id AS query_id, " + _tokens("title") + " AS tokens FROM documents WHERE doc_id % 20 = 0", name="0") + """,
 bm AS (SELECT query_id, doc_id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id FROM q0, c0 WHERE c0.tokens IS NOT NULL) LEFT JOIN x0 USING (query_id, doc_id) QUALIFY rank <= 10)"""
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank"
 _WEIGHTED = f"""wf AS (SELECT doc_id, 1.0 AS w, lower({_SEARCH_TEXT}) AS t FROM named UNION ALL SELECT doc_id, 2.0, lower(name) FROM named UNION ALL SELECT doc_id, 1.5, lower(r.role) FROM (SELECT doc_id, unnest(roles) AS r FROM named) UNION ALL SELECT doc_id, 1.0, lower(s) FROM (SELECT doc_id, unnest(r.states) AS s FROM (SELECT doc_id, unnest(roles) AS r FROM named))),
@@ -205,11 +193,11 @@ w AS (SELECT doc_id, s, unnest(range(0, len(s), 2)) AS st FROM s WHERE len(s) >
 SELECT doc_id, (st // 2)::BIGINT AS chunk_idx, st::BIGINT AS start_sentence, least(st + 3, len(s))::BIGINT AS end_sentence, array_to_string(s[st + 1:st + 3], '. ') || '.' AS chunk_text FROM w""",
     "chunks_whole": "SELECT doc_id, 0::BIGINT AS chunk_idx, length(t)::BIGINT AS chars, greatest(1, floor(length(t) / 4))::BIGINT AS tokens FROM (SELECT doc_id, CASE WHEN title IS NOT NULL THEN title || chr(10) || text ELSE text END AS t FROM documents)",
     "bm25_entities": _NAMED + _BM_ENTITIES + " SELECT * FROM bm",
-    "bm25_search_texts": _NAMED + _bm25(f"SELECT doc_id, {_tokens(_SEARCH_TEXT)} AS tokens FROM named", f"SELECT query_id, {_tokens('text')} AS tokens FROM asked") + f", {_WEIGHTED} SELECT * FROM bm UNION ALL SELECT query_id, doc_id, score, {_TOP} FROM wx WHERE query_id NOT IN (SELECT query_id FROM bm) QUALIFY rank <= 10",
+    "bm25_search_texts": _NAMED + bm25_sql(f"SELECT doc_id, {_tokens(_SEARCH_TEXT)} AS tokens FROM named", f"SELECT query_id, {_tokens('text')} AS tokens FROM asked") + f", {_WEIGHTED} SELECT * FROM bm UNION ALL SELECT query_id, doc_id, score, {_TOP} FROM wx WHERE query_id NOT IN (SELECT query_id FROM bm) QUALIFY rank <= 10",
     "bm25_documents": _BM_DOCS + " SELECT * FROM bm",
     "token_search": _NAMED + f", t AS (SELECT query_id, unnest({_words('text')}) AS token FROM asked), x AS (SELECT query_id, doc_id, count(*) AS score FROM t JOIN named ON contains(lower(name), token) GROUP BY ALL) SELECT query_id, doc_id, score, {_TOP} FROM x QUALIFY rank <= 10",
     "weighted_search": _NAMED + f", {_WEIGHTED} SELECT query_id, doc_id, score, {_TOP} FROM wx QUALIFY rank <= 10",
-    "summary_context": _NAMED + ", sm AS (SELECT id AS doc_id, name, summary FROM entity_nodes WHERE summary IS NOT NULL AND name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrived_at) = 1)" + _bm25(f"SELECT doc_id, {_words('name')} AS tokens FROM sm", f"SELECT query_id, {_words('text')} AS tokens FROM asked", 30) + """,
+    "summary_context": _NAMED + ", sm AS (SELECT id AS doc_id, name, summary FROM entity_nodes WHERE summary IS NOT NULL AND name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrived_at) = 1)" + bm25_sql(f"SELECT doc_id, {_words('name')} AS tokens FROM sm", f"SELECT query_id, {_words('text')} AS tokens FROM asked", 30) + """,
 k AS (SELECT query_id, name, summary, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM bm JOIN sm USING (doc_id) WHERE trim(summary) <> '' QUALIFY rk <= 17)
 SELECT query_id, count(*) AS used, string_agg('Entity: ' || coalesce(name, '') || chr(10) || 'Summary: ' || summary, chr(10) || chr(10) ORDER BY rk) AS context FROM k GROUP BY query_id""",
     "baseline_evidence": _BM_DOCS + " SELECT query_id, md5(string_agg('Q: What is ' || coalesce(title, '') || '? A: ' || coalesce(text, ''), chr(10) ORDER BY rank)) AS evidence_md5, count(*)::BIGINT AS documents FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id",
@@ -221,10 +209,10 @@ SELECT query_id AS mention_id, doc_id FROM (SELECT *, {_words('mn')} AS mw FROM
     "knn_cosine": _KNN + " SELECT query_id, doc_id, score, rank FROM top",
     "knn_other_chunk": _KNN + ", o AS (SELECT query_id, doc_id, score FROM kn WHERE la <> lb AND score > 0) SELECT *, " + _TOP + " FROM o QUALIFY rank <= 5",
     "rerank_cosine": _BM_DOCS + f", e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), o AS (SELECT query_id, doc_id, round(coalesce(list_cosine_similarity(a.v, b.v), 0.0), 6) AS score FROM bm LEFT JOIN e a ON a.vec_id = query_id LEFT JOIN e b ON b.vec_id = doc_id) SELECT *, {_TOP} FROM o QUALIFY rank <= 5",
-    "dual_retrieval": _NAMED + _RES + _BM_ENTITIES + _bm25("SELECT q_id AS doc_id, " + _tokens("question") + " AS tokens FROM res", "SELECT query_id, " + _tokens("text") + " AS tokens FROM asked", 15, "2") + """,
+    "dual_retrieval": _NAMED + _RES + _BM_ENTITIES + bm25_sql("SELECT q_id AS doc_id, " + _tokens("question") + " AS tokens FROM res", "SELECT query_id, " + _tokens("text") + " AS tokens FROM asked", 15, "2") + """,
 span AS (SELECT DISTINCT vp_id, answer AS entity_id FROM ans WHERE answer IN (SELECT id FROM ent)),
 u AS (SELECT query_id, question, answer_names, score, 0::BIGINT AS source, q_id FROM bm JOIN span ON span.entity_id = doc_id JOIN res USING (vp_id) UNION ALL SELECT query_id, question, answer_names, score, 1::BIGINT, q_id FROM bm2 JOIN res ON q_id = doc_id),
 o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, question, answer_names ORDER BY source, score DESC, q_id) = 1)
 SELECT query_id, q_id, question, answer_names, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, q_id) AS rank FROM o QUALIFY rank <= 15""",
-    "cache_misses": _NAMED + " SELECT md5(name) AS key, min(name) AS name, count(*) AS uses FROM named WHERE md5(name) NOT IN (SELECT md5(coalesce(name, '')) FROM entity_nodes_alt) GROUP BY 1",
+    "cache_misses": _NAMED + " SELECT md5(name) AS key, min(name) AS name FROM named WHERE md5(name) NOT IN (SELECT md5(coalesce(name, '')) FROM entity_nodes_alt) GROUP BY 1",
 }

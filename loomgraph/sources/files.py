@@ -11,37 +11,43 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.memory import Memory
+
 ROLE = "struct<role:string,states:array<string>,chunk_id:string>"
 QUESTION = "struct<id:string,text:string,answers:array<string>,chunk_id:string>"
 GRAPH = f"entity_nodes array<struct<id:string,name:string,roles:array<{ROLE}>,chunk_id:string,summary:string>>, verb_phrase_nodes array<struct<id:string,phrase:string,questions:array<{QUESTION}>,chunk_id:string>>"
 CHUNK = f"struct<text:string,doc_idx:int,chunk_idx:int,global_id:string,start_sentence:int,end_sentence:int,gsw:struct<{GRAPH.replace(' array', ':array')}>,context:string>"
 #: Where a question set keeps its gold answers: field, is it JSON in a string, may it say that there is none (fixed values).
 DATASETS = {
-    "2wiki": ("answer", False, False), "musique": ("answer", False, False), "hotpotqa": ("answer", False, False), "popqa": ("possible_answers", True, False),
-    "nq": ("reference", False, False), "lveval": ("answers", False, False), "2wiki_platinum": ("answer", False, False), "musique_platinum": ("answer", False, False),
-    "2wiki_unanswerable": ("answer", False, True), "musique_unanswerable": ("answer", False, True),
-}
+    "2wiki": ("answer", False, False),
+    "2wiki_platinum": ("answer", False, True),
+    "2wiki_unanswerable": ("answer", False, True),
+    "hotpotqa": ("answer", False, False),
+    "lveval": ("answers", False, False),
+    "musique": ("answer", False, False),
+    "musique_platinum": ("answer", False, True),
+    "musique_unanswerable": ("answer", False, True),
+    "nq_rear": ("reference", False, False),
+    "popqa": ("possible_answers", True, False),
+}
 
 
 def read_corpus(spark: SparkSession, path: str, lines: bool = False, start: int = 0, end: int | None = None) -> DataFrame:
     """A corpus of titled texts (one JSON array, or JSON lines): id, title, text, combined; ids count from 0 in file order.
 
-    ``lines`` files are split among tasks and numbered by an order-preserving two-step count; an array is one file, one record.
+    Numbered by an order-preserving two-step count; ``lines`` files are split among tasks, an array's elements are streamed by one.
     """
-    kind = "title string, text string"
-    if lines:
-        rows = spark.read.schema(kind).json(path).where("title is not null or text is not null").withColumn("_m", F.monotonically_increasing_id())
-        part = F.shiftright("_m", 33)
-        sizes = rows.groupBy(part.alias("_p")).count().orderBy("_p").collect()
-        before, offsets = 0, []
-        for r in sizes:  # one row per file split
-            offsets.append((r["_p"], before))
-            before += r["count"]
-        offset = spark.createDataFrame(offsets, "_p long, _o long")
-        rows = rows.withColumn("_p", part).join(F.broadcast(offset), "_p").withColumn("id", F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1))
-    else:
-        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{kind.replace(' string', ':string')}>>").alias("d"))
-        rows = whole.select(F.posexplode("d").alias("id", "x")).select(F.col("id").cast("long").alias("id"), "x.*")
+    # The elements of an array are read one by one, as lines are; only lines are split among tasks.
+    rows = spark.read.schema("title string, text string").option("multiLine", not lines).json(path)
+    rows = rows.where("title is not null or text is not null").withColumn("_m", F.monotonically_increasing_id())
+    part = F.shiftright("_m", 33)
+    sizes = rows.groupBy(part.alias("_p")).count().orderBy("_p").collect()
+    before, offsets = 0, []
+    for r in sizes:  # one row per file split
+        offsets.append((r["_p"], before))
+        before += r["count"]
+    offset = spark.createDataFrame(offsets, "_p long, _o long")
+    rows = rows.withColumn("_p", part).join(F.broadcast(offset), "_p").withColumn("id", F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1))
     rows = rows.where(F.col("id") >= start)
     rows = rows if end is None else rows.where(F.col("id") < end)
     return rows.select("id", "title", "text", F.concat_ws(" ", "title", "text").alias("combined"))
@@ -81,20 +87,20 @@ def gold_answers(raw: Column, json_text: bool) -> Column:
     return F.when(raw.isNull(), F.array().cast("array<string>")).when(raw.startswith("[") & listed.isNotNull(), listed).otherwise(F.array(raw)) if not json_text else F.coalesce(listed, F.array(raw))
 
 
-def read_questions(spark: SparkSession, path: str, dataset: str, aliases_with_any_field: bool = True) -> DataFrame:
-    """A question set: id, question, golds, answerable.
+def read_questions(spark: SparkSession, path: str, dataset: str, aliases_with_any_field: bool = True, lines: bool = False) -> DataFrame:
+    """A question set (a JSON array, or JSON lines): id, question, golds, answerable; without an id of its own a question has its position.
 
     Aliases are appended where present; with ``aliases_with_any_field`` false only if the gold field is ``answer``.
     """
     if dataset not in DATASETS:
         raise ValueError(f"unknown question set {dataset}")
     field, json_text, none_allowed = DATASETS[dataset]
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("i", "j"))
-    golds = gold_answers(F.get_json_object("j", f"$.{field}"), json_text)
-    extra = F.coalesce(F.from_json(F.get_json_object("j", "$.answer_aliases"), "array<string>"), F.array().cast("array<string>"))
+    rows = spark.read.schema(f"_id string, id string, question string, {field} string, answer_aliases array<string>").option("multiLine", not lines).json(path)
+    golds = gold_answers(F.col(field), json_text)
+    extra = F.coalesce("answer_aliases", F.array().cast("array<string>"))
     golds = F.concat(golds, extra) if aliases_with_any_field or field == "answer" else golds
-    ident = F.coalesce(F.get_json_object("j", "$._id"), F.get_json_object("j", "$.id"), F.col("i").cast("string"))
-    return rows.select(ident.alias("id"), F.get_json_object("j", "$.question").alias("question"), golds.alias("golds"), (~F.lit(none_allowed) | (F.size(golds) > 0)).alias("answerable"))
+    ident = F.coalesce("_id", F.col("id"), F.monotonically_increasing_id().cast("string"))
+    return rows.select(ident.alias("id"), "question", golds.alias("golds"), (~F.lit(none_allowed) | (F.size(golds) > 0)).alias("answerable"))
 
 
 def titles_needed(questions: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -120,6 +126,22 @@ def read_book(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode("e").alias("pos", "x")).select("pos", F.col("x.key").alias("chapter"), F.col("x.value").alias("text"))
 
 
+def supporting_paragraphs(questions: DataFrame) -> DataFrame:
+    """(question_id, pos, title, text): the paragraphs of a question's own contexts that are marked as supporting, in order.
+
+    ``questions``: question_id, contexts (array of title, text, is_supporting); a null mark is none.
+    """
+    rows = questions.select("question_id", F.posexplode("contexts").alias("pos", "c")).where(F.coalesce("c.is_supporting", F.lit(False)))
+    return rows.select("question_id", "pos", "c.title", "c.text")
+
+
+def read_memory(spark: SparkSession, path: str) -> tuple[Memory, DataFrame]:
+    """A reconciled memory as ``write_memory`` left it, and its statistics."""
+    statistics = "doc_id long, input_entities long, reconciled_entities long, entities_with_evolution long, total_roles long, compression_ratio double, avg_roles double"
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("entities", "roles", "verb_phrases", "questions", "answers")}
+    return Memory(**tables), spark.read.schema(statistics).json(f"{path}/statistics")
+
+
 # What a run left behind
 
 

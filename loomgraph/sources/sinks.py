@@ -9,12 +9,15 @@ from ..operators.memory import Memory
 
 
 def write_chunks(chunks: DataFrame, path: str, doc_offset: int = 0) -> DataFrame:
-    """Chunks with a graph, partitioned by document, and a one-row metadata table, which is returned.
+    """Chunks with a graph, in the order of their documents, and a one-row metadata table, which is returned.
+
+    Documents are kept together by ranges: a folder for each would be as many folders as documents, and the files' statistics
+    find a document as well.
 
     ``chunks``: doc_id, chunk_idx and more; rows without a graph in ``gsw`` are counted, not written.
     """
     rows = chunks.withColumn("doc_id", F.col("doc_id") + doc_offset)
-    rows.where("gsw is not null").repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").parquet(f"{path}/chunks")
+    rows.where("gsw is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "chunk_idx").write.mode("overwrite").parquet(f"{path}/chunks")
     meta = rows.agg(F.count_distinct("doc_id").alias("total_documents"), F.count("*").alias("total_chunks"), F.count("gsw").alias("chunks_with_graph"))
     meta.write.mode("overwrite").json(f"{path}/metadata")
     return meta
