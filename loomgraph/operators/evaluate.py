@@ -35,6 +35,24 @@ def token_f1(prediction: Column, golds: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(golds, one)), F.lit(0.0))
 
 
+def report_text(scores: DataFrame, group: str, overall: str = "all") -> DataFrame:
+    """One row (report): number, EM and F1 overall and per group, in the order of the groups; ``scores``: em, f1 and a group, null groups as ``unknown``."""
+    named = scores.select(F.coalesce(F.col(group).cast("string"), F.lit("unknown")).alias("g"), "em", "f1")
+    rows = named.groupingSets([["g"], []], "g").agg(F.grouping("g").alias("total"), F.count("*").alias("n"), F.avg("em").alias("em"), F.avg("f1").alias("f1"))
+    line = F.format_string("%s: n=%d EM=%.4f F1=%.4f", F.when(F.col("total") == 1, overall).otherwise(F.col("g")), F.col("n"), F.coalesce("em", F.lit(0.0)), F.coalesce("f1", F.lit(0.0)))
+    lines = rows.select(F.struct((1 - F.col("total")).alias("o"), "g", line.alias("t")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return lines.select(F.array_join(F.transform("x", lambda x: x["t"]), "\n").alias("report"))
+
+
+def truth_format(columns: list[str]) -> str:
+    """Which form of truth a table of questions has: ``chapters`` or ``answers``; none of them is an error."""
+    if "correct_answer_chapters" in columns:
+        return "chapters"
+    if "correct_answer" in columns:
+        return "answers"
+    raise ValueError("neither correct_answer nor correct_answer_chapters")
+
+
 def judged(n_truth: Column, n_found: Column, total: Column) -> tuple[Column, Column, Column]:
     """Precision, recall and F1 of judged items.  Nothing expected and nothing found is perfect; nothing found
     has no precision."""

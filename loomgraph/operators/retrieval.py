@@ -117,17 +117,26 @@ def approximate_matches(mentions: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def names_in_queries(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(query_id, doc_id): names whose words all stand in the query's words; names of several words, or of one.
+    """(query_id, doc_id): names that stand in the query as they are, also inside words; for queries without such a name those of
+    several words that all stand in it.
 
-    ``queries``: query_id, text; ``names``: doc_id, name.  Joined by each name's rarest word only.
+    ``queries``: query_id, text; ``names``: doc_id, name; letter case doesn't count, blank names match nothing.  Names are
+    met through their rarest word, which must stand in a word of the query; only then texts are compared.
     """
-    known = names.select("doc_id", F.array_distinct(words("name")).alias("ws")).where(F.size("ws") > 0)
-    spread = known.select("doc_id", F.explode("ws").alias("word"))
-    df = spread.groupBy("word").agg(F.count("*").alias("df"))
-    rarest = spread.join(df, "word").groupBy("doc_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
-    asked = queries.select("query_id", F.array_distinct(words("text")).alias("qs"))
-    pairs = asked.select("query_id", F.explode("qs").alias("word")).join(rarest, "word").select("query_id", "doc_id")
-    return pairs.join(known, "doc_id").join(asked, "query_id").where(F.size(F.array_except("ws", "qs")) == 0).select("query_id", "doc_id")
+    scratch = Scratch(names.sparkSession, "names")
+    known = names.select("doc_id", F.lower("name").alias("nm"), F.array_distinct(words("name")).alias("ws")).where(F.size("ws") > 0)
+    spread = known.select("doc_id", F.explode("ws").alias("token"))
+    df = spread.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = spread.join(df, "token").groupBy("doc_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    asked = queries.where(F.col("text").isNotNull()).select("query_id", F.lower("text").alias("q"))
+    mine = asked.select("query_id", F.explode(F.array_distinct(words("q"))).alias("word"))
+    inside = holders(mine.select("word").distinct(), rarest.select("token").distinct())
+    pairs = mine.join(inside, "word").select("query_id", "token").distinct().join(rarest, "token").join(known, "doc_id").join(asked, "query_id")
+    held = F.contains("q", "nm")
+    every = (F.size("ws") > 1) & F.forall("ws", lambda w: F.contains(F.col("q"), w))
+    found = scratch.cut(pairs.select("query_id", "doc_id", held.alias("held"), every.alias("every")).where("held or every"), "found")
+    exact = found.where("held").select("query_id", "doc_id")
+    return exact.unionByName(found.where("not held").join(exact.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "doc_id"))
 
 
 def weighted_search(entities: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -186,7 +186,7 @@ def results_with_truth(spark, sf_dir):
     """Results joined to truth on the question's text; of repeated truths the last counts."""
     q = table(spark, sf_dir, "questions").where("text is not null")
     truth = q.groupBy("text").agg(F.max_by("chunk_id", "question_row").alias("truth"), F.count("*").alias("n"))
-    return q.where("question_row % 20 = 0").join(truth, "text").select("question_row", "text", "truth", "n")
+    return q.join(truth, "text").select("question_row", "text", "truth", "n")
 
 
 def token_usage(spark, sf_dir):
@@ -283,7 +283,7 @@ SELECT question_row, CASE WHEN regexp_matches(t, '^[\d, ]*\d[\d, ]*\.$') THEN le
     "chapter_metrics": MEMORY_SQL + """, s AS (SELECT id, split_part(vp_id, '_', 1) AS t, list_distinct(list_transform(list_filter(coalesce(answers, []), lambda a: contains(a, '::')), lambda a: split_part(a, '_', 1))) AS f FROM qs),
 h AS (SELECT id, len(f) AS n, CASE WHEN list_contains(f, t) THEN 1 ELSE 0 END AS hit FROM s)
 SELECT id, round(coalesce(hit / nullif(n, 0), 0), 6)::DOUBLE AS "precision", hit::DOUBLE AS recall, round(CASE WHEN hit = 0 THEN 0 ELSE 2 * (hit / n) / (hit / n + 1) END, 6)::DOUBLE AS f1 FROM h""",
-    "results_with_truth": "SELECT question_row, q.text, truth, n FROM questions q JOIN (SELECT text, arg_max_null(chunk_id, question_row) AS truth, count(*) AS n FROM questions WHERE text IS NOT NULL GROUP BY text) t ON t.text = q.text WHERE question_row % 20 = 0",
+    "results_with_truth": "SELECT question_row, q.text, truth, n FROM questions q JOIN (SELECT text, arg_max_null(chunk_id, question_row) AS truth, count(*) AS n FROM questions WHERE text IS NOT NULL GROUP BY text) t ON t.text = q.text",
     "token_usage": "SELECT collection, sum(t)::BIGINT AS total, round(avg(t), 4) AS mean, min(t) AS least, max(t) AS most FROM (SELECT collection, greatest(1, floor(length(coalesce(text, '')) / 4))::BIGINT AS t FROM documents) GROUP BY collection",
     "missing_documents": "SELECT i AS doc_idx FROM (SELECT unnest(generate_series(lo, hi)) AS i FROM (SELECT min(doc_idx) AS lo, max(doc_idx) AS hi FROM chunks)) WHERE i NOT IN (SELECT doc_idx FROM chunks)",
     "missing_chunks": "WITH l AS (SELECT doc_idx, max(chunk_idx) AS m FROM chunks GROUP BY 1), w AS (SELECT doc_idx, unnest(generate_series(0, m)) AS chunk_idx FROM l) SELECT doc_idx, chunk_idx::BIGINT AS chunk_idx FROM w EXCEPT SELECT doc_idx, chunk_idx FROM chunks",

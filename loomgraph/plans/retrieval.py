@@ -79,7 +79,7 @@ def approximate_matches(spark, sf_dir):
 
 
 def query_entities(spark, sf_dir):
-    asked = table(spark, sf_dir, "questions").where("question_row % 20 = 0").select(F.col("question_row").alias("query_id"), F.regexp_replace("text", r"[?!.,\"'’]", " ").alias("text"))
+    asked = table(spark, sf_dir, "questions").where("question_row % 20 = 0").select(F.col("question_row").alias("query_id"), "text")
     return r.names_in_queries(asked, _named(spark, sf_dir).select("doc_id", "name"))
 
 
@@ -204,7 +204,9 @@ SELECT query_id, count(*) AS used, string_agg('Entity: ' || coalesce(name, '') |
     "compiled_results": "SELECT question_row, CASE WHEN answers[1] LIKE 'TEXT:%' THEN substr(answers[1], 6) ELSE 'NA' END AS answer, CASE WHEN answers[1] LIKE 'TEXT:%' THEN greatest(1, length(substr(answers[1], 6)) // 4)::BIGINT ELSE 0 END AS tokens FROM questions WHERE text IS NOT NULL",
     "approximate_matches": _NAMED + f""", a AS (SELECT query_id, regexp_replace(lower(text), '^"|"$', '', 'g') AS mn FROM asked WHERE trim(text) <> ''), n AS (SELECT doc_id, regexp_replace(lower(name), '^"|"$', '', 'g') AS nm FROM named WHERE trim(name) <> '')
 SELECT query_id AS mention_id, doc_id FROM (SELECT *, {_words('mn')} AS mw FROM a), (SELECT *, {_words('nm')} AS nw FROM n) WHERE len(list_intersect(mw, nw)) > 0 OR (len(mw) > 0 AND contains(nm, mn)) OR (len(nw) > 0 AND contains(mn, nm))""",
-    "query_entities": _NAMED + f""", q AS (SELECT question_row AS query_id, list_distinct({_words("regexp_replace(text, '[?!.,\"''’]', ' ', 'g')")}) AS qs FROM questions WHERE question_row % 20 = 0), n AS (SELECT doc_id, list_distinct({_words('name')}) AS ws FROM named) SELECT query_id, doc_id FROM q JOIN n ON len(ws) > 0 AND list_has_all(qs, ws)""",
+    "query_entities": _NAMED + f""", q AS (SELECT question_row AS query_id, lower(text) AS q FROM questions WHERE question_row % 20 = 0), n AS (SELECT doc_id, lower(name) AS nm, list_distinct({_words('name')}) AS ws FROM named),
+e AS (SELECT query_id, doc_id FROM q JOIN n ON len(ws) > 0 AND contains(q, nm))
+SELECT * FROM e UNION ALL SELECT query_id, doc_id FROM q JOIN n ON len(ws) > 1 AND len(list_filter(ws, lambda w: NOT contains(q, w))) = 0 WHERE query_id NOT IN (SELECT query_id FROM e)""",
     "search_texts": _NAMED + f" SELECT doc_id AS id, {_SEARCH_TEXT} AS search_text FROM named",
     "knn_cosine": _KNN + " SELECT query_id, doc_id, score, rank FROM top",
     "knn_other_chunk": _KNN + ", o AS (SELECT query_id, doc_id, score FROM kn WHERE la <> lb AND score > 0) SELECT *, " + _TOP + " FROM o QUALIFY rank <= 5",
