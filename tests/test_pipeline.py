@@ -24,11 +24,11 @@ def make_extractor():
 
 def test_documents_to_graphs(spark):
     extractor = make_extractor()
-    docs = spark.createDataFrame([(1, "Ann met Bob. They ran. It rained. All slept.", "T"), (2, "bad text", None), (3, None, None)], "doc_id long, text string, title string")
+    docs = spark.createDataFrame([(1, "Ann met Bob. They ran. It rained. All slept. Day came.", "T"), (2, "bad text", None), (3, None, None)], "doc_id long, text string, title string")
     out = p.process_documents(docs, {"episodic": extractor}, context=lambda: lambda rows: [{"context": f"of {len(r['text'])}"} for r in rows], size=3, overlap=1)
     rows = {(r["doc_id"], r["chunk_idx"]): r for r in out.collect()}
-    assert set(rows) == {(1, 0), (1, 1), (2, 0)}
-    assert rows[1, 0]["graph"]["entity_nodes"][0]["name"] == "Ann" and rows[1, 0]["context"] == "of 44" and rows[2, 0]["error"] == "unreadable"
+    assert set(rows) == {(1, 0), (1, 1), (1, 2), (2, 0)}
+    assert rows[1, 0]["graph"]["entity_nodes"][0]["name"] == "Ann" and rows[1, 0]["context"] == "of 54" and rows[2, 0]["error"] == "unreadable"
     assert p.process_documents(docs, {"episodic": extractor}, size=None).where("context is not null").count() == 0
     with pytest.raises(ValueError):
         p.process_documents(docs, {"episodic": extractor}, kind="other")
