@@ -62,7 +62,7 @@ def reconcile(memory: Memory, match: Callable[[DataFrame], DataFrame] = canonica
     folded = scratch.cut(reconcile_verb_phrases(memory.verb_phrases, scratch.cut(questions, "questions")), "folded")
     kept = folded.where("q_id is null").select(F.col("vp_id").alias("id"))
     phrases = memory.verb_phrases.where("phrase is not null").join(kept, "id", "left_anti")
-    asked = folded.where("q_id is not null").select(F.col("q_id").alias("id"), F.col("kept_id").alias("vp_id"), "text", "answers").join(memory.questions.select("id", "chunk_id"), "id", "left")
+    asked = folded.where("q_id is not null").select(F.col("q_id").alias("id"), F.col("kept_id").alias("vp_id"), "text", "answers", "chunk_id")
     answers = asked.select(F.col("id").alias("q_id"), "vp_id", "text", F.posexplode("answers").alias("a_pos", "answer"))
     return Memory(entities, roles, phrases, asked, answers), to
 
