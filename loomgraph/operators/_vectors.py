@@ -28,11 +28,12 @@ def block_search(corpus: DataFrame, queries: DataFrame, k: int, block: int, apar
     """Blocks of the corpus meet blocks of queries; each meeting is one matrix product.  Rows of equal ``apart`` are no neighbours."""
     rows, asked = corpus.count(), queries.count()
     group = F.xxhash64(apart).alias("grp") if apart else F.lit(0).cast("long").alias("grp")
+    kind = "string" if "string" in (corpus.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()) else "bigint"
     here, there = max(1, -(-rows // CORPUS_BLOCK)), max(1, -(-asked // block))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("long")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = corpus.select(F.lit(0).alias("side"), F.col("doc_id").alias("id"), "vec", group).withColumn("cb", deal(here)).select("*", each(there).alias("qb"))
-    q = queries.select(F.lit(1).alias("side"), F.col("query_id").alias("id"), "vec", group).withColumn("qb", deal(there)).select("*", each(here).alias("cb"))
+    c = corpus.select(F.lit(0).alias("side"), F.col("doc_id").cast(kind).alias("id"), "vec", group).withColumn("cb", deal(here)).select("*", each(there).alias("qb"))
+    q = queries.select(F.lit(1).alias("side"), F.col("query_id").cast(kind).alias("id"), "vec", group).withColumn("qb", deal(there)).select("*", each(here).alias("cb"))
 
     def meet(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
@@ -42,21 +43,28 @@ def block_search(corpus: DataFrame, queries: DataFrame, k: int, block: int, apar
         a, ra = _matrix(mine.column("vec"), width)
         b, rb = _matrix(theirs.column("vec"), width)
         qgroup, dgroup = mine.column("grp").to_numpy()[ra], theirs.column("grp").to_numpy()[rb]
-        qid, did = mine.column("id").to_numpy()[ra], theirs.column("id").to_numpy()[rb]
-        out = []
-        for lo in range(0, len(qid), 500):
+        # Ids of any type: equal scores are told apart by their order.
+        ids = theirs.column("id").combine_chunks().take(pa.array(rb))
+        place = np.empty(len(ids), np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        rows, found, scores = [], [], []
+        for lo in range(0, len(ra), 500):
             s = np.round(a[lo : lo + 500] @ b.T, 6)
             if apart:
                 s[qgroup[lo : lo + 500][:, None] == dgroup] = -2
-            # Equal scores at the edge stay in as long as their ids may decide.
-            order = np.lexsort((np.broadcast_to(did, s.shape), -s), axis=1)[:, :k]
-            best = np.take_along_axis(s, order, 1)
-            i, j = np.nonzero(best > 0)
-            out.append((qid[lo : lo + 500][i], did[order[i, j]], best[i, j]))
-        parts = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(parts[0], pa.int64()), "doc_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
+            # Rows at least as near as the k-th; only these are sorted.
+            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.zeros(len(s))
+            i, j = np.nonzero((s >= least[:, None]) & (s > 0))
+            order = np.lexsort((place[j], -s[i, j], i))
+            i, j = i[order], j[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            rows.append(lo + i[keep])
+            found.append(j[keep])
+            scores.append(s[i[keep], j[keep]])
+        at = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.table({"query_id": mine.column("id").combine_chunks().take(pa.array(ra)).take(pa.array(at(rows))), "doc_id": ids.take(pa.array(at(found))), "score": pa.array(at(scores).astype(np.float64))})
 
-    found = c.unionByName(q).groupBy("cb", "qb").applyInArrow(meet, "query_id long, doc_id long, score double")
+    found = c.unionByName(q).groupBy("cb", "qb").applyInArrow(meet, f"query_id {kind}, doc_id {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -7,14 +7,16 @@ once per worker by a factory.  Stand-ins are column expressions, so that they ru
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.text import exploded, strip
+from ..functions.text import exploded, strip, word_tokens
 
 Model = Callable[[list[dict]], list[dict]]
 
@@ -60,6 +62,21 @@ def temporal(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([0-9]+)"), 1))
 
 
+def hashed_vector(text: Column, width: int = 64) -> Column:
+    """Stand-in for an embedder: how often words fall into each of ``width`` (at most 256) buckets, by the first byte of their MD5; null for null, zeros without words."""
+
+    @F.arrow_udf("array<double>")
+    def count(lists: pa.Array) -> pa.Array:
+        sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        said = lists.flatten().dictionary_encode()
+        buckets = np.array([md5(w.encode()).digest()[0] % width for w in said.dictionary.to_pylist()], np.int64)
+        at = np.repeat(np.arange(len(lists)), sizes) * width + (buckets[said.indices.to_numpy()] if len(said) else np.zeros(0, np.int64))
+        values = np.bincount(at, minlength=len(lists) * width).astype(np.float64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * width, pa.int32()), pa.array(values), mask=lists.is_null())
+
+    return count(word_tokens(text))
+
+
 def extract_mentions(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id_col, pos, name): the stand-in's entities of each text."""
     return exploded(df, [id_col], capitalised(F.col(text)), "name", "pos")

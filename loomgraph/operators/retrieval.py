@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,3 +204,31 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, block: int = 2_000, apart
     from ._vectors import block_search
 
     return block_search(corpus, queries, k, block, apart)
+
+
+def entity_search(entities: DataFrame, queries: DataFrame, k: int, use_bm25: bool = True, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): entities by BM25 over their search texts; without it by the vectors that ``embed`` makes of these texts; without both by
+    the weighted search of the fields.
+
+    ``entities``: doc_id, name, roles; ``queries``: query_id, text.  Queries that have no vector, or a zero one, go to the weighted search.
+    """
+    tokens = queries.select("query_id", word_tokens("text").alias("tokens"))
+    if use_bm25:
+        return bm25(entities.select("doc_id", word_tokens(entity_search_text()).alias("tokens")), tokens, k)
+    if embed is None:
+        return weighted_search(entities, tokens, k)
+    scratch = Scratch(entities.sparkSession, "search")
+    asked = scratch.cut(queries.select("query_id", embed(F.col("text")).alias("vec")), "asked").where(F.exists("vec", lambda x: x != 0))
+    found = knn(entities.select("doc_id", embed(entity_search_text()).alias("vec")), asked, k).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
+    return found.unionByName(weighted_search(entities, tokens.join(asked.select("query_id"), "query_id", "left_anti"), k))
+
+
+def cosine_scores(rows: DataFrame, query: str, text: str, embed: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with ``score``, the cosine of two texts' vectors; 0 where one is missing, zero or of another length."""
+    scratch = Scratch(rows.sparkSession, "cosine")
+    # A text that many rows share gets its vector once.
+    vectors = rows.select(F.col(query).alias("t")).unionAll(rows.select(F.col(text).alias("t"))).where("t is not null").distinct()
+    vectors = scratch.cut(vectors.select("t", embed(F.col("t")).alias("v")), "vectors").select("t", unit(F.col("v")).alias("v"))
+    out = rows.join(vectors.select(F.col("t").alias(query), F.col("v").alias("_a")), query, "left").join(vectors.select(F.col("t").alias(text), F.col("v").alias("_b")), text, "left")
+    same = F.size("_a") == F.size("_b")
+    return out.select(*rows.columns, F.round(F.coalesce(F.when(same, dot(F.col("_a"), F.col("_b"))), F.lit(0.0)), 6).alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import answers, files, graph, pipeline, problems, retrieval
+from . import answers, files, graph, pipeline, problems, retrieval, vectors
 
 
 def _wide(build):
@@ -17,6 +17,6 @@ def _wide(build):
     return query
 
 
-MODULES = (problems, graph, retrieval, answers, pipeline, files)
+MODULES = (problems, graph, retrieval, answers, pipeline, files, vectors)
 QUERIES = {k: f if m is problems else _wide(f) for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

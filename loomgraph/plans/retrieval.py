@@ -86,7 +86,7 @@ def query_entities(spark, sf_dir):
 def summary_context(spark, sf_dir):
     """Summaries of the entities that a name search finds, best first."""
     rows = m.first_rows(table(spark, sf_dir, "entity_nodes").select("id", "name", "summary", "arrived_at"), "id", "arrived_at").select(F.col("id").alias("doc_id"), "name", "summary")
-    corpus = rows.where("summary is not null and name is not null")
+    corpus = rows.where("trim(summary) <> '' and name is not null")
     found = r.bm25(corpus.select("doc_id", words("name").alias("tokens")), _asked(spark, sf_dir).select("query_id", words("text").alias("tokens")), 30).drop("rank")
     return r.summary_context(found.join(corpus, "doc_id"))
 
@@ -197,7 +197,7 @@ SELECT doc_id, (st // 2)::BIGINT AS chunk_idx, st::BIGINT AS start_sentence, lea
     "bm25_documents": _BM_DOCS + " SELECT * FROM bm",
     "token_search": _NAMED + f", t AS (SELECT query_id, unnest({_words('text')}) AS token FROM asked), x AS (SELECT query_id, doc_id, count(*) AS score FROM t JOIN named ON contains(lower(name), token) GROUP BY ALL) SELECT query_id, doc_id, score, {_TOP} FROM x QUALIFY rank <= 10",
     "weighted_search": _NAMED + f", {_WEIGHTED} SELECT query_id, doc_id, score, {_TOP} FROM wx QUALIFY rank <= 10",
-    "summary_context": _NAMED + ", sm AS (SELECT id AS doc_id, name, summary FROM entity_nodes WHERE summary IS NOT NULL AND name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrived_at) = 1)" + bm25_sql(f"SELECT doc_id, {_words('name')} AS tokens FROM sm", f"SELECT query_id, {_words('text')} AS tokens FROM asked", 30) + """,
+    "summary_context": _NAMED + ", sm AS (SELECT id AS doc_id, name, summary FROM entity_nodes WHERE trim(summary) <> '' AND name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrived_at) = 1)" + bm25_sql(f"SELECT doc_id, {_words('name')} AS tokens FROM sm", f"SELECT query_id, {_words('text')} AS tokens FROM asked", 30) + """,
 k AS (SELECT query_id, name, summary, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM bm JOIN sm USING (doc_id) WHERE trim(summary) <> '' QUALIFY rk <= 17)
 SELECT query_id, count(*) AS used, string_agg('Entity: ' || coalesce(name, '') || chr(10) || 'Summary: ' || summary, chr(10) || chr(10) ORDER BY rk) AS context FROM k GROUP BY query_id""",
     "baseline_evidence": _BM_DOCS + " SELECT query_id, md5(string_agg('Q: What is ' || coalesce(title, '') || '? A: ' || coalesce(text, ''), chr(10) ORDER BY rank)) AS evidence_md5, count(*)::BIGINT AS documents FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id",
