@@ -78,3 +78,26 @@ def compare_systems(scores: DataFrame, system: str, metric: str, base: str, othe
     mean = lambda s: F.coalesce(F.round(F.avg(F.when(F.col(system) == s, F.col(metric))), 6), F.lit(0.0))
     out = scores.agg(mean(base).alias("base"), mean(other).alias("other"))
     return out.select("base", "other", F.round(F.col("other") - F.col("base"), 6).alias("difference"), F.round(100 * F.try_divide(F.col("other") - F.col("base"), F.nullif("base", F.lit(0.0))), 4).alias("improvement"))
+
+
+def read_judgement(reply: Column) -> Column:
+    """A judge's reply as (n_found, total, explanation, error).
+
+    The reply is JSON as a whole, or what lies between its first and last brace is; else nothing was found and the error says so.
+    ``identified_items_in_AI_answer`` are the found items; ``matching_score`` are objects of one key each whose numbers are added up;
+    others don't count.
+    """
+    body = F.nullif(F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)(\{.*\})", 1), F.lit(""))
+    tree = F.try_parse_json(body)
+    listed = lambda path: F.coalesce(F.try_variant_get(tree, path, "array<variant>"), F.array().cast("array<variant>"))
+    pair = lambda v: F.map_values(F.try_variant_get(v, "$", "map<string,string>"))
+    number = lambda v: F.when(F.size(pair(v)) == 1, F.get(pair(v), F.lit(0)).try_cast("double"))
+    total = F.aggregate(listed("$.matching_score"), F.lit(0.0), lambda s, v: s + F.coalesce(number(v), F.lit(0.0)))
+    error = F.when(body.isNull(), "No JSON found in response").when(tree.isNull(), "Could not parse JSON")
+    return F.struct(F.size(listed("$.identified_items_in_AI_answer")).alias("n_found"), total.alias("total"), F.try_variant_get(tree, "$.explanation", "string").alias("explanation"), error.alias("error"))
+
+
+def judged_means(scores: DataFrame) -> DataFrame:
+    """One row: number, errors and the means of precision (nulls left out), recall and F1."""
+    mean = lambda x: F.coalesce(F.round(F.avg(x), 4), F.lit(0.0)).alias(x)
+    return scores.agg(F.count("*").alias("n"), F.count("error").alias("errors"), mean("precision"), mean("recall"), mean("f1"))

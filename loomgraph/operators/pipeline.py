@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
+from .chains import extract_answer
 from .chunking import chunk_sentences, parse_output, whole_chunks, with_title
+from .evaluate import exact_match, judged, read_judgement, token_f1
 from .memory import Memory, merge_roles, resolved_answers, rewrite_answers
 from .models import Model, call_model, read_reply
 from .reconcile import canonical_entities, reconcile_verb_phrases
@@ -98,3 +100,37 @@ def ask(questions: DataFrame, summaries: DataFrame, mentions: Callable[[DataFram
     put = questions.join(context, "question_id", "left").select("question_id", "question", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("context", F.lit("")).alias("context"))
     said = scratch.cut(call_model(put, answer, "reply string"), "replies")
     return said.select("question_id", "question", "used", "context", read_reply(F.col("reply")).alias("answer"), "error")
+
+
+def judge(rows: DataFrame, make: Maker, read: Callable[[Column], Column] = read_judgement, score: Callable[[Column, Column, Column], tuple[Column, Column, Column]] = judged) -> DataFrame:
+    """``rows`` (correct_answer, a list, and whatever the judge reads) with n_found, total, precision, recall, f1, explanation, error and, where the reply could not be read, raw_reply.
+
+    A judge is any model that gives ``reply``; ``read`` makes of it what was found, and ``score`` the measures of it, so that another
+    judge brings its own.  A failed call finds nothing.
+    """
+    said = Scratch(rows.sparkSession, "judge").cut(call_model(rows, make, "reply string"), "replies").withColumn("_j", read(F.col("reply")))
+    p, r, f = score(F.coalesce(F.size("correct_answer"), F.lit(0)), F.col("_j.n_found"), F.col("_j.total"))
+    raw = F.when(F.col("_j.error").isNotNull(), F.col("reply")).alias("raw_reply")
+    return said.select(*rows.columns, "_j.n_found", "_j.total", p.alias("precision"), r.alias("recall"), f.alias("f1"), "_j.explanation", F.coalesce("error", "_j.error").alias("error"), raw)
+
+
+def evaluate_run(questions: DataFrame, golds: DataFrame, decompose: Maker, gather: Callable[[DataFrame], DataFrame], answer: Maker) -> DataFrame:
+    """Questions (question_id, question) decomposed, searched, answered and scored: question_id, question, n_steps, evidence, prediction, em, f1, error.
+
+    ``decompose``: from question to ``steps``, a list of (template, requires_retrieval); where it fails or gives none, the question is its only step.
+    ``gather``: from all steps (question_id, q_idx, template, requires_retrieval) to (question_id, evidence).  ``answer``: from question and
+    evidence to ``reply``.  ``golds``: question_id, golds (a list); questions without golds score 0.
+    """
+    scratch = Scratch(questions.sparkSession, "evaluate")
+    asked = questions.select("question_id", "question")
+    cut = scratch.cut(call_model(asked, decompose, "steps array<struct<template:string,requires_retrieval:boolean>>"), "steps")
+    whole = F.array(F.struct(F.col("question").alias("template"), F.lit(True).alias("requires_retrieval")))
+    cut = cut.select("question_id", "question", F.when(F.size("steps") > 0, F.col("steps")).otherwise(whole).alias("steps"), F.col("error").alias("step_error"))
+    steps = cut.select("question_id", F.posexplode("steps").alias("q_idx", "s")).select("question_id", "q_idx", "s.template", "s.requires_retrieval")
+    found = gather(steps).select("question_id", "evidence")
+    put = cut.join(found, "question_id", "left").select("question_id", "question", F.size("steps").alias("n_steps"), F.coalesce("evidence", F.lit("")).alias("evidence"), "step_error")
+    said = scratch.cut(call_model(put, answer, "reply string"), "replies").withColumn("prediction", extract_answer(F.col("reply")))
+    # Of several golds of a question all count.
+    known = golds.groupBy("question_id").agg(F.flatten(F.collect_set("golds")).alias("golds"))
+    p, g = F.col("prediction"), F.col("golds")
+    return said.join(known, "question_id", "left").select("question_id", "question", "n_steps", "evidence", "prediction", F.coalesce(exact_match(p, g), F.lit(0.0)).alias("em"), F.round(F.coalesce(token_f1(p, g), F.lit(0.0)), 6).alias("f1"), F.coalesce("error", "step_error").alias("error"))

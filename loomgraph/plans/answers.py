@@ -169,6 +169,20 @@ def judge_metrics(spark, sf_dir):
     return n.select("q_id", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
+def judge_replies(spark, sf_dir):
+    """Replies as judges pack them, around the questions' answers: bare, in prose, with scores that are no numbers, cut short."""
+    q = table(spark, sf_dir, "questions").where("answers is not null").select("question_row", "answers")
+    kind = F.col("question_row") % 4
+    items = F.concat(F.lit("["), F.array_join(F.transform("answers", lambda a, i: F.concat(F.lit('"i'), i, F.lit('"'))), ", "), F.lit("]"))
+    number = lambda i: F.when((kind == 2) & (i == 0), F.lit('"none"')).when(i % 2 == 0, F.lit("1.0")).otherwise(F.lit('"0.5"'))
+    scores = F.concat(F.lit("["), F.array_join(F.transform("answers", lambda a, i: F.concat(F.lit('{"i'), i, F.lit('": '), number(i), F.lit("}"))), ", "), F.lit("]"))
+    body = F.concat(F.lit('{"identified_items_in_AI_answer": '), items, F.lit(', "matching_score": '), scores, F.lit("}"))
+    reply = F.when(kind == 0, F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone."))).when(kind == 3, F.concat(F.lit("}"), F.rtrim(body, F.lit("}")))).otherwise(body)
+    j = q.select("question_row", F.size("answers").alias("n_truth"), e.read_judgement(reply).alias("j"))
+    p, r, f = e.judged(F.col("n_truth"), F.col("j.n_found"), F.col("j.total"))
+    return j.select("question_row", "j.n_found", "j.total", p.alias("precision"), r.alias("recall"), f.alias("f1"), "j.error")
+
+
 def judge_summary(spark, sf_dir):
     """Means over all questions; a null precision doesn't count."""
     mean = lambda x: F.coalesce(F.round(F.avg(x), 4), F.lit(0.0)).alias(x)
@@ -217,7 +231,7 @@ def reid_documents(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     step_dependencies, reasoning_chains, concrete_questions, beam_scores, beam_best_per_entity, beam_prune, beam_parents, chain_score_modes, chain_evidence, multi_hop_search, multi_hop_evidence, evidence_texts, chain_statistics,
-    answers_extracted, em_f1, em_f1_by_group, comparison, judge_metrics, judge_summary, chapter_metrics, results_with_truth, token_usage, missing_documents, missing_chunks, reid_documents,
+    answers_extracted, em_f1, em_f1_by_group, comparison, judge_metrics, judge_replies, judge_summary, chapter_metrics, results_with_truth, token_usage, missing_documents, missing_chunks, reid_documents,
 )}
 
 _STEPS = MEMORY_SQL + f""", st AS (SELECT vp_id AS question_id, (row_number() OVER (PARTITION BY vp_id ORDER BY {DELIVERED}) - 1)::BIGINT AS q_idx, coalesce(text, '') AS text FROM qs),
@@ -279,6 +293,12 @@ SELECT question_row, CASE WHEN regexp_matches(t, '^[\d, ]*\d[\d, ]*\.$') THEN le
     "em_f1_by_group": _PRED + " SELECT verdict, grouping(verdict)::BIGINT AS overall, count(*) AS n, round(avg(em), 4) AS em, round(avg(f1), 4) AS f1 FROM sc GROUP BY ROLLUP (verdict)",
     "comparison": _PRED + ", m AS (SELECT coalesce(round(avg(f1) FILTER (verdict IS NOT TRUE), 6), 0) AS base, coalesce(round(avg(f1) FILTER (verdict), 6), 0) AS other FROM sc) SELECT base, other, round(other - base, 6) AS difference, round(100 * (other - base) / nullif(base, 0), 4) AS improvement FROM m",
     "judge_metrics": _JUDGE + " SELECT * FROM jm",
+    "judge_replies": """
+WITH q AS (SELECT question_row, question_row % 4 AS kind, len(answers) AS t FROM questions WHERE answers IS NOT NULL),
+s AS (SELECT *, CASE WHEN kind = 3 THEN 0 ELSE t END AS f, CASE WHEN kind = 3 OR t = 0 THEN 0 ELSE (t + 1) // 2 + 0.5 * (t // 2) - CASE WHEN kind = 2 THEN 1 ELSE 0 END END::DOUBLE AS total FROM q),
+p AS (SELECT *, CASE WHEN t = 0 AND f = 0 THEN 1.0 WHEN f = 0 THEN NULL ELSE total / f END AS p, CASE WHEN t = 0 AND f = 0 THEN 1.0 WHEN f = 0 THEN 0.0 ELSE total / t END AS r FROM s)
+SELECT question_row, f::BIGINT AS n_found, total, round(p, 6)::DOUBLE AS "precision", round(r, 6)::DOUBLE AS recall, round(CASE WHEN t = 0 AND f = 0 THEN 1.0 WHEN f = 0 THEN 0 ELSE coalesce(2 * p * r / nullif(p + r, 0), 0) END, 6)::DOUBLE AS f1,
+  CASE WHEN kind = 3 AND t = 0 THEN 'No JSON found in response' WHEN kind = 3 THEN 'Could not parse JSON' END AS error FROM p""",
     "judge_summary": _JUDGE + """ SELECT regexp_extract(q_id, '^(.*)::', 1) AS vp_id, coalesce(round(avg("precision"), 4), 0) AS "precision", coalesce(round(avg(recall), 4), 0) AS recall, coalesce(round(avg(f1), 4), 0) AS f1 FROM jm GROUP BY 1""",
     "chapter_metrics": MEMORY_SQL + """, s AS (SELECT id, split_part(vp_id, '_', 1) AS t, list_distinct(list_transform(list_filter(coalesce(answers, []), lambda a: contains(a, '::')), lambda a: split_part(a, '_', 1))) AS f FROM qs),
 h AS (SELECT id, len(f) AS n, CASE WHEN list_contains(f, t) THEN 1 ELSE 0 END AS hit FROM s)

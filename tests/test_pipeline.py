@@ -78,3 +78,40 @@ def test_clusters_need_a_shared_folder():
         shared_dir(Session())
     Session.conf["spark.checkpoint.dir"] = "hdfs://x/y/"
     assert shared_dir(Session()) == "hdfs://x/y"
+
+
+def test_judge(spark):
+    replies = {
+        "whole": '{"identified_items_in_AI_answer": ["x", "y"], "matching_score": [{"a": 1}, {"b": "0.5"}, {"c": 1, "d": 1}, 7, {"e": "?"}], "explanation": "so"}',
+        "prose": 'Well: {"identified_items_in_AI_answer": [], "matching_score": []} ok', "broken": "{no", "bad": "{no}", "odd": '{"identified_items_in_AI_answer": "x", "matching_score": null}',
+    }
+
+    def make():
+        return lambda rows: [{"reply": replies[r["answer"]]} for r in rows]
+
+    rows = spark.createDataFrame([(k, ["a", "b"]) for k in [*replies, "raises"]] + [("prose", []), ("prose", None)], "answer string, correct_answer array<string>")
+    out = p.judge(rows, make).collect()
+    got = {(r["answer"], len(r["correct_answer"] or ())): (r["n_found"], r["total"], r["precision"], r["recall"], r["f1"], r["error"]) for r in out}
+    assert got["whole", 2] == (2, 1.5, 0.75, 0.75, 0.75, None) and got["prose", 2] == got["odd", 2] == (0, 0.0, None, 0.0, 0.0, None) and got["prose", 0][2:5] == (1.0, 1.0, 1.0)
+    assert got["broken", 2][5] == "No JSON found in response" and got["bad", 2][5] == "Could not parse JSON" and got["raises", 2][5].startswith("KeyError")
+    means = evaluate.judged_means(p.judge(rows, make)).first()
+    assert (means["n"], means["errors"]) == (8, 3) and means["recall"] == round(2.75 / 8, 4)
+
+
+def test_evaluate_run(spark):
+    def decompose():
+        def run(rows):
+            return [{"steps": [{"template": w, "requires_retrieval": True} for w in r["question"].split()] if r["question"] != "none" else []} for r in rows]
+
+        return run
+
+    def answer():
+        return lambda rows: [{"reply": f"Thought. Answer: {r['evidence']}"} for r in rows]
+
+    gather = lambda s: s.groupBy("question_id").agg(F.concat_ws(" ", F.array_sort(F.collect_list("template"))).alias("evidence"))
+    asked = spark.createDataFrame([(1, "big blue dog"), (2, "none"), (3, None)], "question_id long, question string")
+    golds = spark.createDataFrame([(1, ["dog"]), (1, ["the Big, blue dog"]), (2, ["some"])], "question_id long, golds array<string>")
+    got = {r["question_id"]: r for r in p.evaluate_run(asked, golds, decompose, gather, answer).collect()}
+    assert (got[1]["em"], got[1]["f1"], got[1]["n_steps"], got[1]["evidence"]) == (1.0, 1.0, 3, "big blue dog")
+    assert (got[2]["n_steps"], got[2]["em"], got[2]["prediction"]) == (1, 0.0, "none") and got[3]["error"] and got[3]["em"] == 0.0
+    assert p.evaluate_run(asked.limit(0), golds, decompose, gather, answer).count() == 0
