@@ -87,13 +87,16 @@ def token_search(names: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def holders(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
     """(token, word): the words of a vocabulary in which a token stands, by equi-joins on letter trigrams.
 
-    A token of three or more letters is met through its first trigram; shorter ones through the
-    words' own one- and two-letter parts.
+    A token of three or more letters is met through the trigram that fewest words have, so that common beginnings are no hot keys; shorter
+    ones through the words' own one- and two-letter parts.
     """
     grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
-    long = tokens.where(F.length("token") >= 3).select("token", F.substring("token", 1, 3).alias("gram"))
-    short = tokens.where(F.length("token") < 3).select("token", F.col("token").alias("gram"))
     parts = vocabulary.select("word", F.explode(F.array_distinct(F.concat(grams("word", 1), grams("word", 2), grams("word", 3)))).alias("gram"))
+    often = parts.where(F.length("gram") == 3).groupBy("gram").agg(F.count("*").alias("n"))
+    own = tokens.where(F.length("token") >= 3).select("token", F.explode(grams("token", 3)).alias("gram")).join(often, "gram", "left")
+    # A trigram that no word has comes first: the token is in none.
+    long = own.groupBy("token").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    short = tokens.where(F.length("token") < 3).select("token", F.col("token").alias("gram"))
     return parts.join(long.unionByName(short), "gram").where(F.contains("word", "token")).select("token", "word").distinct()
 
 

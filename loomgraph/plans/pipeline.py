@@ -12,6 +12,7 @@ from ..sources.sinks import cytoscape, preview
 from ..streaming import incremental as inc
 from ..session import table
 from .graph import MEMORY_SQL
+from .graph import ORACLES as GRAPH_SQL
 
 
 def extracted_entities(spark, sf_dir):
@@ -88,6 +89,11 @@ w AS (SELECT doc_id, s, unnest(range(0, len(s), 4)) AS st FROM s WHERE len(s) >
 ck AS (SELECT doc_id || '_' || st // 4 AS chunk_id, array_to_string(s[st + 1:st + 4], '. ') || '.' AS text FROM w)
 SELECT DISTINCT chunk_id, entity, tag_value FROM (SELECT chunk_id, entity, unnest(list_filter(regexp_extract_all(text, '[0-9]+'), lambda y: length(y) = 4)) AS tag_value FROM (SELECT chunk_id, text, unnest({_CAPS.format('text')}) AS entity FROM ck))""",
     "replies_read": "SELECT question_row, CASE WHEN question_row % 3 = 0 THEN array_to_string(a, ', ') ELSE a[1] END AS answer FROM (SELECT question_row, list_transform(answers, lambda x: regexp_replace(x, '[^A-Za-z0-9_: ]', '', 'g')) AS a FROM questions WHERE answers IS NOT NULL AND len(answers) > 0)",
+    "graph_elements": f"""
+WITH nd AS ({GRAPH_SQL["graph_nodes"]}), ed AS ({GRAPH_SQL["graph_edges"]}),
+el AS (SELECT CASE WHEN label IS NULL THEN to_json({{'data': {{'id': node_id, 'type': node_type}}}}) ELSE to_json({{'data': {{'id': node_id, 'label': label, 'type': node_type}}}}) END::VARCHAR AS element FROM nd
+  UNION ALL SELECT to_json({{'data': {{'source': source, 'target': target, 'label': q_id}}}})::VARCHAR FROM ed)
+SELECT left(md5(element), 3) AS bucket, count(*) AS elements, sum(length(element))::BIGINT AS chars FROM el GROUP BY 1""",
     "document_previews": "SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM documents",
     "stream_first_names": f"SELECT {_KEY.format('name')} AS name_key, arg_min(id, {{'d': TRY_CAST(split_part(coalesce(chunk_id, id), '_', 1) AS BIGINT), 'c': TRY_CAST(split_part(coalesce(chunk_id, split_part(id, '::', 1)), '_', -1) AS BIGINT), 'n': TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT), 'i': id}}) AS first_id, count(*) AS seen FROM entity_nodes WHERE name IS NOT NULL AND {_KEY.format('name')} <> '' GROUP BY 1",
     "stream_question_windows": "SELECT strftime(time_bucket(INTERVAL 7 DAY, recorded_at, TIMESTAMPTZ '1970-01-01 00:00:00+00') AT TIME ZONE 'UTC', '%Y-%m-%d') AS window_start, chunk_id IS NOT NULL AS chunk_known, count(*) AS questions FROM questions GROUP BY 1, 2",

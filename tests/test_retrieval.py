@@ -95,3 +95,14 @@ def test_token_search_counts_words_inside_names(spark):
     names = spark.createDataFrame([(1, "cartel art"), (2, "Oak"), (3, None)], "doc_id long, name string")
     asked = spark.createDataFrame([(1, ["art", "art", "o", "zz"])], "query_id long, tokens array<string>")
     assert [(x.doc_id, x.score) for x in r.token_search(names, asked, 5).orderBy("rank").collect()] == [(1, 2), (2, 1)]
+
+
+def test_holders_against_all_pairs(spark):
+    words_ = ["cartel", "art", "arty", "con", "concert", "co", "é", "caféart", "xxxx", "a"]
+    tokens = ["art", "con", "xxx", "zzz", "concert", "é", "co", "t", "tel", "nce"]
+    v = spark.createDataFrame([(w,) for w in words_], "word string")
+    t = spark.createDataFrame([(w,) for w in tokens], "token string")
+    from loomgraph.operators.retrieval import holders
+
+    assert {tuple(x) for x in holders(v, t).collect()} == {(x, w) for x in tokens for w in words_ if x in w}
+    assert holders(v.limit(0), t).count() == 0 and holders(v, t.limit(0)).count() == 0
