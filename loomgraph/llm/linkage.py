@@ -18,7 +18,7 @@ _MARKED = [(c, b) for c in map(chr, range(0xDF, 0x250)) if (b := unicodedata.nor
 
 #: Names that a block may hold on its smaller side; larger blocks are refined by further words.
 BLOCK = 25
-#: Names that have a word of which parts are compared within a text, at most.
+#: Names that have a word whose names meet by parts of it within a text, at most; of more frequent words, the words are compared.
 RARE = 100
 #: Share of the best edge's weight that an edge of two names needs to be compared, and a candidate to stay in the graph.
 PRUNE_NAMES, PRUNE = 0.25, 0.5
@@ -103,8 +103,9 @@ def _near_words(left: DataFrame, right: DataFrame, rarity: DataFrame) -> DataFra
     return pairs.select(F.col("y.word").alias("word"), F.col("x.word").alias("key")).distinct()
 
 
-def _word_blocks(scratch: Scratch, left: DataFrame, right: DataFrame, rarity: DataFrame, total: float) -> DataFrame:
-    """Members of blocks of names that share a word, slips allowed, with at most ``BLOCK`` names on the smaller side.
+def _word_blocks(scratch: Scratch, left: DataFrame, right: DataFrame, rarity: DataFrame, total: float, more: DataFrame | None = None) -> DataFrame:
+    """Members of blocks of names that share a word, slips allowed, with at most ``BLOCK`` names on the smaller side; ``more``: rows (side, nm, at,
+    key) of further blocks of two words that agree, refined alike.
 
     Only names of which one holds all words of the other can match.  So a larger block is refined by the names' other
     words: two names that match meet under the next word that they share, or one of them has no word left, and
@@ -113,7 +114,8 @@ def _word_blocks(scratch: Scratch, left: DataFrame, right: DataFrame, rarity: Da
     """
     mine = left.select(F.lit(0).alias("side"), "nm", F.explode("words").alias("at")).withColumn("key", F.col("at"))
     theirs = right.select(F.lit(1).alias("side"), "nm", F.explode("words").alias("word")).join(_near_words(left, right, rarity), "word").select("side", "nm", F.col("word").alias("at"), "key")
-    rows = scratch.cut(mine.unionByName(theirs).withColumn("final", F.lit(False)), "rows-0")
+    rows = mine.unionByName(theirs) if more is None else mine.unionByName(theirs).unionByName(more)
+    rows = scratch.cut(rows.withColumn("final", F.lit(False)), "rows-0")
     sizes = scratch.cut(_block_sizes(rows), "blocks-0")
     small, large = F.col("final") | (F.least("l", "r") <= BLOCK), ~F.col("final") & (F.least("l", "r") > BLOCK)
     out = [_members(rows, sizes.where(F.least("l", "r") <= BLOCK), total)]
@@ -140,30 +142,45 @@ def _word_blocks(scratch: Scratch, left: DataFrame, right: DataFrame, rarity: Da
         rows = sized.where(large)
 
 
-def _text_blocks(scratch: Scratch, left: DataFrame, right: DataFrame, rarity: DataFrame, total: float) -> DataFrame:
-    """Members of blocks of names of one text that share the beginning or end of a longer, rare word, or less of it beside another word.
+def _text_blocks(scratch: Scratch, left: DataFrame, right: DataFrame, rarity: DataFrame, total: float) -> tuple[DataFrame, DataFrame]:
+    """Members of blocks of names of one text that share the beginning or end of a longer, rare word, or less of it beside another word; and rows
+    (side, nm, at, key) of blocks of two words of a text that agree.
 
-    They find slips beyond one edit and add to the weight of names of one text.  Blocks above ``BLOCK`` are purged: there the
-    words' own blocks remain.
+    The first find slips beyond one edit and add to the weight of names of one text.  In blocks above ``BLOCK``, and for words that more than ``RARE``
+    names have, words are compared instead of names, and the names of two words that agree are a block, which ``_word_blocks`` refines
+    like any other; so no pair is lost to a block's size.
     """
 
     def keys(side: int, df: DataFrame) -> DataFrame:
         mine = df.where("doc is not null").select("nm", "doc", "words").distinct().select("nm", "doc", "words", F.explode("words").alias("at")).where(F.length("at") >= 5)
-        mine = mine.join(rarity.where(F.col("df") <= RARE).select(F.col("word").alias("at")), "at", "left_semi")
+        mine = mine.join(rarity.select(F.col("word").alias("at"), "df"), "at")
         ends = F.array(*(F.concat_ws("|", F.lit(t), "doc", part) for t, part in (("<", F.substring("at", 1, 5)), (">", F.substring(F.reverse("at"), 1, 5)))))
         beside = F.flatten(F.transform(F.array_remove("words", F.col("at")), lambda also: F.array(*(F.concat_ws("|", F.lit(t), F.col("doc"), also, part) for t, part in (("<<", F.substring("at", 1, 2)), (">>", F.substring(F.reverse("at"), 1, 2)))))))
-        mine = mine.select("nm", F.concat(F.lit("@"), "at").alias("tag"), F.explode(F.concat(ends, beside)).alias("key")).distinct()
-        return mine.select(F.lit(side).alias("side"), "nm", F.col("tag").alias("at"), "key")
+        return mine.select(F.lit(side).alias("side"), "nm", "doc", F.struct(F.col("at").alias("word"), "df").alias("x"), F.explode(F.concat(ends, beside)).alias("key")).distinct()
 
     rows = scratch.cut(keys(0, left).unionByName(keys(1, right)), "text-rows")
-    return _members(rows, _block_sizes(rows).where(F.least("l", "r") <= BLOCK), total)
+    rare = rows.where(F.col("x.df") <= RARE).select("side", "nm", F.concat(F.lit("@"), "x.word").alias("at"), "key")
+    sizes = scratch.cut(_block_sizes(rare), "text-blocks")
+    members = _members(rare, sizes.where(F.least("l", "r") <= BLOCK), total)
+    # Two rare words of a small block have met there.
+    big = sizes.where(F.least("l", "r") > BLOCK).select("key", F.lit(True).alias("big"))
+    said = rows.select("side", "doc", "x", "key").distinct()
+    both = said.where("side = 0").select("doc", "key", "x").join(said.where("side = 1").select("key", F.col("x").alias("y")), "key").where(F.col("x.word") != F.col("y.word"))
+    both = both.join(big, "key", "left").where(F.col("big") | (F.greatest("x.df", "y.df") > RARE)).select("doc", "x", "y").distinct().where(close(F.col("x"), F.col("y")))
+    pairs = scratch.cut(both.select("doc", F.col("x.word").alias("x"), F.col("y.word").alias("y")), "text-words")
+    # Such a key sorts before every word, so that words refine it.
+    key = F.concat_ws("|", F.lit("!"), "doc", "x", "y").alias("key")
+    held = rows.select("side", "nm", "doc", F.col("x.word").alias("at")).distinct()
+    meet = lambda side, end: held.where(F.col("side") == side).join(pairs.withColumn("at", F.col(end)), ["doc", "at"]).select("side", "nm", "at", key)
+    return members, meet(0, "x").unionByName(meet(1, "y"))
 
 
 def _candidates(scratch: Scratch, left: DataFrame, right: DataFrame, rarity: DataFrame, total: float) -> DataFrame:
     """(left_nm, right_nm): meta-blocking.  The graph of names that share a block, each edge weighted by the rarity of what the two
     names share, word by word, is pruned node by node: an edge stays that has a share of the weight of the best edge at one of its ends."""
     one = lambda df: df.select("nm", "words").dropDuplicates(["nm"])
-    members = scratch.cut(_word_blocks(scratch, one(left), one(right), rarity, total).unionByName(_text_blocks(scratch, left, right, rarity, total)), "members")
+    in_text, more = _text_blocks(scratch, left, right, rarity, total)
+    members = scratch.cut(_word_blocks(scratch, one(left), one(right), rarity, total, more).unionByName(in_text), "members")
     edges = members.where("side = 0").select("key", "w", "at", F.col("nm").alias("left_nm")).join(members.where("side = 1").select("key", F.col("nm").alias("right_nm")), "key")
     edges = edges.repartition("left_nm", "right_nm").groupBy("left_nm", "right_nm", "at").agg(F.max("w").alias("w")).groupBy("left_nm", "right_nm").agg(F.sum("w").alias("w"))
     edges = scratch.cut(edges, "edges")

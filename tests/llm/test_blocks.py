@@ -52,3 +52,19 @@ def test_planted_things_are_found(spark):
     got = li.link_entities(spark.createDataFrame(left, "id string, " + kind), spark.createDataFrame(right, "alt_id string, " + kind))
     found = {(r["id"], r["alt_id"]) for r in got.collect()}
     assert len(found & truth) >= 0.97 * len(truth) and len(found & truth) >= 0.97 * len(found)
+
+
+def test_slips_in_large_blocks_of_a_text(spark):
+    """More names than a block holds share beginning and end of a word; two letters of each are wrong."""
+    rnd = random.Random(7)
+    left, right, truth = [], [], set()
+    for i in range(li.BLOCK + 15):
+        mid = [rnd.choice("abcdefghiklmnoprstuv") for _ in range(8)]
+        slip = [*mid[:2], "z", *mid[3:5], "y", *mid[6:]]
+        facts = [(f"role {i}", [f"state {i}", f"other {i}"], "7_0"), (f"role {i + 100}", [f"more {i}"], "7_0")]
+        left.append((f"7_0::e{i}", "Marle" + "".join(mid) + "stone", facts, "7_0"))
+        right.append((f"x{i}", "Marle" + "".join(slip) + "stone", facts, "7_1"))
+        truth.add((f"7_0::e{i}", f"x{i}"))
+    kind = "name string, roles array<struct<role:string,states:array<string>,chunk_id:string>>, chunk_id string"
+    got = li.link_entities(spark.createDataFrame(left, "id string, " + kind), spark.createDataFrame(right, "alt_id string, " + kind))
+    assert {(r["id"], r["alt_id"]) for r in got.collect()} == truth
