@@ -106,3 +106,33 @@ def test_holders_against_all_pairs(spark):
 
     assert {tuple(x) for x in holders(v, t).collect()} == {(x, w) for x in tokens for w in words_ if x in w}
     assert holders(v.limit(0), t).count() == 0 and holders(v, t.limit(0)).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [7, 200_000])
+def test_field_searches_in_blocks_against_brute_force(spark, monkeypatch, block):
+    """Common tokens, also inside words, roles without text and ties; no row stands for a query and a text, so nothing is joined."""
+    from loomgraph.operators import _vectors
+
+    monkeypatch.setattr(_vectors, "FIELD_BLOCK", block)
+    rng = np.random.default_rng(3)
+    said = lambda n: " ".join(rng.choice(["the", "other", "of", "old", "man", "manor", "x1", "role", "specific"], n))
+    rows = [(f"d{i:03}", None if i % 9 == 0 else said(rng.integers(0, 4)), None if i % 7 == 0 else [(None if j == 2 else said(2), None if j == 1 else [said(1), None, said(2)]) for j in range(i % 4)]) for i in range(60)]
+    asked = [(i, [str(x) for x in rng.choice(["the", "o", "man", "roles", "no", "old", "zz", "x1"], 4)]) for i in range(20)] + [(90, []), (91, None), (92, ["man:", "-", "the"])]
+    docs = spark.createDataFrame(rows, "doc_id string, name string, roles array<struct<role:string,states:array<string>>>")
+    queries = spark.createDataFrame(asked, "query_id long, tokens array<string>")
+    texts = {x.doc_id: x.t for x in docs.select("doc_id", r.entity_search_text().alias("t")).collect()}
+
+    def best(score):
+        return {(q, d, s) for q, ts in asked for s, d in sorted(((score(ts or [], row), row[0]) for row in rows), key=lambda x: (-x[0], x[1]))[:5] if s > 0}
+
+    def weighted(ts, row):
+        fields = [(1, texts[row[0]]), (2, row[1]), *((1.5, x[0]) for x in row[2] or []), *((1, s) for x in row[2] or [] for s in x[1] or [])]
+        return sum(w for t in set(ts) for w, x in fields if x is not None and t in x.lower())
+
+    for found, score in ((r.token_search(docs, queries, 5), lambda ts, row: sum(t in (row[1] or "") for t in ts)), (r.weighted_search(docs, queries, 5), weighted)):
+        assert {(x.query_id, x.doc_id, x.score) for x in found.collect()} == best(score)
+        assert "Join" not in plan_of(found)
