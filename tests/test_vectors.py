@@ -5,6 +5,7 @@ from hashlib import md5
 import numpy as np
 from pyspark.sql import functions as F
 
+from loomgraph.operators import _vectors
 from loomgraph.operators import retrieval as r
 from loomgraph.operators.models import hashed_vector
 
@@ -48,3 +49,25 @@ def test_entity_search_falls_back(spark):
 def test_cosine_scores(spark):
     rows = spark.createDataFrame([(1, "ann lee", "lee ann", "x"), (2, "ann", None, "y"), (3, "", "ann", None), (1, "ann lee", "lee ann", "x")], "id long, q string, s string, v string")
     assert sorted((x.id, x.score) for x in r.cosine_scores(rows, "q", "s", hashed_vector).collect()) == [(1, 1.0), (1, 1.0), (2, 0.0), (3, 0.0)]
+
+
+def test_matches_ranked_in_blocks(spark, monkeypatch):
+    """As by all pairs; and only the best of each meeting leave it, however many names share a word."""
+    monkeypatch.setattr(_vectors, "NAME_BLOCK", 40)
+    monkeypatch.setattr(_vectors, "MENTION_BLOCK", 7)
+    rnd = np.random.default_rng(3)
+    parts, said = ["the", "ann", "lee", "annlee", "hall", "e", "\"mill", "of", "x\u00e9"], ["red", "boat", "ann", "lee", "hid", "it"]
+    text = lambda of, n: " ".join(of[i] for i in rnd.integers(0, len(of), n))
+    names = [(f"d{i}", text(parts, rnd.integers(1, 4)), text(said, 4) if i % 11 else "?!") for i in range(150)] + [("blank", " ", "red"), ("none", None, "red"), ("zz", "ann", None)]
+    asked = [(i, text(parts, rnd.integers(1, 3))) for i in range(30)] + [(98, ""), (99, None)]
+    names, asked = spark.createDataFrame(names, "doc_id string, name string, text string"), spark.createDataFrame(asked, "query_id long, mention string")
+    pairs = r.approximate_matches(asked.withColumnRenamed("query_id", "mention_id"), names.select("doc_id", "name")).withColumnRenamed("mention_id", "query_id").join(asked, "query_id").join(names, "doc_id")
+    want = r.top_k(r.cosine_scores(pairs, "mention", "text", hashed_vector), "query_id", "score", "doc_id", 5)
+    key = lambda x: (x.query_id, x.rank, x.doc_id, x.score)
+    assert sorted(map(key, r.matches_ranked(asked, names, 5, hashed_vector).collect())) == sorted(map(key, want.collect()))
+    same = spark.range(500).select(F.concat(F.lit("n"), "id").alias("doc_id"), F.concat(F.lit("the hall "), "id").alias("name"), F.lit("a boat").alias("text"))
+    monkeypatch.setattr(_vectors, "NAME_BLOCK", 1_000)
+    left = []
+    monkeypatch.setattr(r, "top_k", lambda df, *_: left.append(df) or df)
+    r.matches_ranked(spark.range(60).select(F.col("id").alias("query_id"), F.lit("the boat").alias("mention")), same, 5, hashed_vector)
+    assert left[0].count() == 60 * 5
