@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import strip, words
+from loomgraph.operators import _vectors
 from loomgraph.operators import chunking as c
 from loomgraph.operators import retrieval as r
 
@@ -136,3 +138,24 @@ def test_field_searches_in_blocks_against_brute_force(spark, monkeypatch, block)
     for found, score in ((r.token_search(docs, queries, 5), lambda ts, row: sum(t in (row[1] or "") for t in ts)), (r.weighted_search(docs, queries, 5), weighted)):
         assert {(x.query_id, x.doc_id, x.score) for x in found.collect()} == best(score)
         assert "Join" not in plan_of(found)
+
+
+def test_bm25_by_rare_words(spark, monkeypatch):
+    """Texts that come to queries by their rarest words are the best of all, with common, less rare, rare and unknown words, many ties and repeated words."""
+    rnd = random.Random(5)
+    common, less, rare = [f"c{i}" for i in range(6)], [f"m{i}" for i in range(25)], [f"r{i}" for i in range(400)]
+    words = lambda a, b, c: [rnd.choice(common) for _ in range(a)] + [rnd.choice(less) for _ in range(b)] + [rnd.choice(rare) for _ in range(c)]
+    docs = {f"d{i}": words(rnd.randint(0, 5), rnd.randint(0, 2), rnd.randint(0, 2)) for i in range(700)} | {"empty": []}
+    queries = {i: words(rnd.randint(0, 4), rnd.randint(0, 3), rnd.randint(0, 2)) + ["unknown"] * (i % 2) for i in range(150)}
+    both = spark.createDataFrame(list(docs.items()), "doc_id string, tokens array<string>"), spark.createDataFrame(list(queries.items()), "query_id long, tokens array<string>")
+    key = lambda x: (x.query_id, x.rank, x.doc_id, x.score)
+    want = sorted(map(key, r.bm25(*both, 5).collect()))
+    found = brute_bm25(docs, queries)
+    assert [x[:3] for x in want] == [(q, n + 1, d) for q in queries for n, (_, d) in enumerate(sorted((-s, d) for (a, d), s in found.items() if a == q)[:5])]
+    for name, value in {"CORPUS_WORDS": 100, "QUERY_WORDS": 60, "RARE": 15, "COMMON": 6, "RARE_ROWS": 150, "WORD_BLOCK": 50, "PAIRS": 40}.items():
+        monkeypatch.setattr(_vectors, name, value)
+    monkeypatch.setattr(_vectors, "block_scores", lambda texts, *x, own=_vectors.block_scores: met.append(texts.count()) or own(texts, *x))
+    met = []
+    got = sorted(map(key, r.bm25(*both, 5).collect()))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=2e-6)
+    assert met and met[0] < 500, "texts alike in common words are one"
